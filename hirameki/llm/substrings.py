@@ -27,8 +27,11 @@ from .common import BASES, Rolling, begins, blocks, n_buckets, ordered, overlaid
 
 #: A row of the exchange: packed questions to a bucket (ord null), or an answer that needs none.
 ASKED = pa.schema([("bucket", pa.int32()), ("ord", pa.int64()), ("key", pa.int64()), ("data", pa.binary())])
-ANSWERED = pa.schema([("ord", pa.int64()), ("key", pa.int64()), ("data", pa.binary())])
-ASKED_DDL, ANSWERED_DDL = "bucket int, ord long, key long, data binary", "ord long, key long, data binary"
+ANSWERED = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+GATHERED = pa.schema([("ord", pa.int64()), ("key", pa.int64()), ("answers", pa.binary())])
+ASKED_DDL, ANSWERED_DDL, GATHERED_DDL = "bucket int, ord long, key long, data binary", "bucket int, data binary", "ord long, key long, answers binary"
+#: An answer: the document and a word position.
+ANSWER = np.dtype([("ord", "<i8"), ("key", "<i8"), ("pos", "<u4")])
 #: A question: hash, more bits of it, document in the block's table, word position, and whether the block has it repeatedly.
 QUESTION = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<u4"), ("pos", "<u4"), ("more", "u1")])
 #: Position that stands for the document as a whole.
@@ -72,13 +75,13 @@ class Block:
         return where
 
 
-def local_positions(block: Block, blobs: list, n: int) -> np.ndarray:
+def local_positions(block: Block, blobs: list, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Which words of the block the answers name (True at the word), and which documents they name as a whole."""
     named, whole = np.zeros(len(block.doc), bool), np.zeros(n, bool)
-    for i, parts in enumerate(blobs):
-        for b in parts or ():
+    for i, b in enumerate(blobs):
+        if b:
             pos = np.frombuffer(b, "<u4")
-            if len(pos) and (pos == WHOLE).any():
+            if (pos == WHOLE).any():
                 whole[i], pos = True, pos[pos != WHOLE]
             named[block.first[i] + pos.astype(np.int64)] = True
     return named, whole
@@ -164,15 +167,20 @@ def questions(lengths: list[int], level: int, buckets: int):
     return run
 
 
-def answers(last: bool):
-    """mapInArrow function over the rows of ASKED of whole buckets: rows of ANSWERED."""
+def answers(last: bool, buckets: int):
+    """mapInArrow function over the rows of ASKED of whole buckets: rows of ANSWERED, one per bucket of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+        found = []
         for batch in batches:
             known = batch.filter(batch.column("ord").is_valid())
             if known.num_rows:
-                yield pa.RecordBatch.from_arrays([known.column(c) for c in ("ord", "key", "data")], schema=ANSWERED)
+                sizes = np.array([len(b.as_buffer()) // 4 for b in known.column("data")])
+                x = np.zeros(int(sizes.sum()), ANSWER)
+                x["ord"], x["key"] = np.repeat(known.column("ord").to_numpy(), sizes), np.repeat(known.column("key").to_numpy(), sizes)
+                x["pos"] = np.frombuffer(b"".join(known.column("data").to_pylist()), "<u4")
+                found.append(x)
             for blob in batch.filter(batch.column("ord").is_null()).column("data"):
                 raw = blob.as_buffer()
                 docs, n = np.frombuffer(raw, "<u4", 2).tolist()
@@ -183,35 +191,61 @@ def answers(last: bool):
                 more = np.frombuffer(raw, "u1", n, at + 20 * n)
                 for to, x in zip(parts, (h, g, ords[doc], keys[doc], pos, more), strict=True):
                     to.append(x)
-        if not parts[0]:
+        if parts[0]:
+            h, g, o, k, pos, more = (np.concatenate(p) for p in parts)
+            parts.clear()
+            order = np.lexsort((o, g, h))
+            h, g, o, k, pos, more = h[order], g[order], o[order], k[order], pos[order], more[order].astype(bool)
+            new = begins(h, g)
+            group = np.cumsum(new) - 1
+            yes = o > o[np.flatnonzero(new)[group]]  # an earlier document has it
+            if not last:
+                repeated = (np.bincount(group) > 1) | (np.bincount(group, more) > 0)
+                yes = np.where(pos == WHOLE, yes, repeated[group] & ~more)
+            x = np.zeros(int(yes.sum()), ANSWER)
+            x["ord"], x["key"], x["pos"] = o[yes], k[yes], pos[yes]
+            found.append(x)
+        if not found:
             return
-        h, g, o, k, pos, more = (np.concatenate(p) for p in parts)
-        parts.clear()
-        order = np.lexsort((o, g, h))
-        h, g, o = h[order], g[order], o[order]
-        new = begins(h, g)
-        group = np.cumsum(new) - 1
-        found = o > o[np.flatnonzero(new)[group]]  # an earlier document has it
-        if not last:
-            size, more = np.bincount(group), more[order].astype(bool)
-            repeated = (size > 1) | (np.bincount(group, more) > 0)
-            found = np.where(pos[order] == WHOLE, found, repeated[group] & ~more)
-        found = order[found]
-        o, k, pos = o[np.argsort(order)][found], k[found], pos[found]  # o was sorted above
-        order = np.lexsort((pos, k, o))
-        o, k, pos = o[order], k[order], pos[order]
-        at = np.flatnonzero(begins(o, k))
-        for i in range(0, len(at), 10_000):
-            part = at[i : i + 10_000]
-            end = at[i + 10_000] if i + 10_000 < len(at) else len(o)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(o[part]), pa.array(k[part]), pa.array([x.astype("<u4").tobytes() for x in np.split(pos[part[0] : end], part[1:] - part[0])], pa.binary())],
-                schema=ANSWERED,
-            )
+        x = np.concatenate(found)
+        to = (x["key"].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((x["pos"], x["key"], to))
+        x, to = x[order], to[order]
+        for part, lo, hi in zip(to[(at := np.flatnonzero(begins(to)))].tolist(), at.tolist(), [*at[1:].tolist(), len(to)], strict=True):
+            mine = x[lo:hi]
+            at_doc = np.flatnonzero(begins(mine["ord"], mine["key"]))
+            counts = np.diff(np.append(at_doc, len(mine))).astype("<u4")
+            docs = mine[at_doc]
+            data = b"".join([np.array([len(docs)], "<u4").tobytes(), docs["ord"].tobytes(), docs["key"].tobytes(), counts.tobytes(), mine["pos"].tobytes()])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], schema=ANSWERED)
 
     return run
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function over ANSWERED of whole buckets: a row per document, with all positions."""
+    found = []
+    for batch in batches:
+        for blob in batch.column("data"):
+            raw = blob.as_buffer()
+            n = int(np.frombuffer(raw, "<u4", 1)[0])
+            counts = np.frombuffer(raw, "<u4", n, 4 + 16 * n)
+            x = np.zeros(int(counts.sum()), ANSWER)
+            x["ord"], x["key"] = np.repeat(np.frombuffer(raw, "<i8", n, 4), counts), np.repeat(np.frombuffer(raw, "<i8", n, 4 + 8 * n), counts)
+            x["pos"] = np.frombuffer(raw, "<u4", len(x), 4 + 20 * n)
+            found.append(x)
+    if not found:
+        return
+    x = np.concatenate(found)
+    x = x[np.lexsort((x["pos"], x["key"], x["ord"]))]
+    at = np.flatnonzero(begins(x["ord"], x["key"]))
+    for i in range(0, len(at), 10_000):
+        part = at[i : i + 10_000]
+        mine = x[part[0] : at[i + 10_000] if i + 10_000 < len(at) else len(x)]
+        data = [p.tobytes() for p in np.split(mine["pos"], part[1:] - part[0])]
+        yield pa.RecordBatch.from_arrays([pa.array(x["ord"][part]), pa.array(x["key"][part]), pa.array(data, pa.binary())], schema=GATHERED)
+
+
 def covered(starts: np.ndarray, window: int, doc_of: np.ndarray) -> np.ndarray:
     """Words inside a window that begins at a marked word."""
     edge = np.zeros(len(starts) + 1, np.int32)
@@ -221,11 +255,17 @@ def covered(starts: np.ndarray, window: int, doc_of: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def kept_rows(window: int, schema: pa.Schema):
+def with_text(batches: Iterator[pa.RecordBatch], field: int) -> Iterator[pa.RecordBatch]:
+    """The batches with a field of their struct row as text."""
+    for batch in batches:
+        yield batch.append_column("text", batch.column("row").field(field))
+
+
+def kept_rows(window: int, text: int):
     """mapInArrow function: documents with the last level's answers to row, kept (text), n_words, n_removed, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(with_text(batches, text)):
             block, n = Block.__new__(Block), batch.num_rows
             data, offsets = text_bytes(batch.column("text"))
             starts, ends, doc = words(data, offsets)
@@ -245,14 +285,11 @@ def kept_rows(window: int, schema: pa.Schema):
                     texts.append(b" ".join(raw[starts[r[0]] : ends[r[-1]]] for r in runs).decode())
                 else:
                     texts.append(raw[offsets[i] : offsets[i + 1]].decode())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(n_words), pa.array(n_gone.astype(np.int64)), pa.array(sums, pa.string())], schema=pa.schema([schema.field(0).with_type(batch.column("row").type), *list(schema)[1:]]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(n_words), pa.array(n_gone.astype(np.int64)), pa.array(sums, pa.string())], ["row", "kept", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
-KEPT = pa.schema([("row", pa.null()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-
-
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 20, start: int = 10, bucket_mb: int = 64) -> DataFrame:
     """Removes from docs each word in a window of words that also begins earlier (smaller doc_id, or same row, earlier place).
 
@@ -267,9 +304,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     for level in range(len(lengths)):
         asking = keyed if found is None else keyed.join(found, ["ord", "key"])
         asked = asking.mapInArrow(questions(lengths, level, buckets), ASKED_DDL)
-        answered = asked.repartition(buckets, "bucket").mapInArrow(answers(level == len(lengths) - 1), ANSWERED_DDL)
-        found = answered.groupBy("ord", "key").agg(F.collect_list("data").alias("answers"))
-    joined = rows.join(found, ["ord", "key"], "left").select("row", "text", "answers")
-    out = joined.mapInArrow(kept_rows(window, KEPT), joined.select("row").schema.add("kept", "string").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string"))
+        answered = asked.repartition(buckets, "bucket").mapInArrow(answers(level == len(lengths) - 1, buckets), ANSWERED_DDL)
+        found = answered.repartition(buckets, "bucket").mapInArrow(gathered, GATHERED_DDL)
+    joined = rows.drop("text").join(found, ["ord", "key"], "left").select("row", "answers")
+    schema = joined.select("row").schema.add("kept", "string").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+    out = joined.mapInArrow(kept_rows(window, docs.columns.index(text)), schema)
     new = {text: F.when(F.col(f"row.`{text}`").isNotNull(), F.col("kept")), "n_words": F.col("n_words"), "n_removed": F.col("n_removed"), "kept_sha256": F.col("kept_sha256")}
     return overlaid(out, "row", docs.columns, new)

@@ -2,20 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substrings
+from . import bytebpe, packing, substrings, tokencount, tokenfiles
+from .common import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bytebpe.encode(docs, path, public_tokenizers.PATTERN).drop("text")
+    return bytebpe.decode(encoded, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    tokenfiles.write(table(spark, sf_dir, "documents"), to, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfiles.read(spark, to).mapInArrow(tokenfiles.crc32, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op9_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_byte_bpe, op5_token_files, op8_packing, op9_substring_dedup)}
 ORACLES: dict[str, str] = {}

@@ -35,17 +35,14 @@ def is_letter() -> np.ndarray:
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all n-grams, the number of the text of each, and which texts have a letter."""
-    joined = " \n ".join([t.lower() for t in texts]) + " "
-    points = np.frombuffer((" " + joined).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    lower = [t.lower() for t in texts]
+    sizes = np.fromiter(map(len, lower), np.int64, len(lower)) + 2
+    points = np.frombuffer(("".join([f" {t} " for t in lower])).encode("utf-32-le"), "<u4").astype(np.int64)
     letter = is_letter()[points]
-    end = points == 10  # of a text, but also of a line
-    sizes = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts))
-    starts = np.cumsum(sizes + 3) - sizes - 3 + 1
-    text_of = np.repeat(np.arange(len(texts)), sizes + 3)[: len(points)]
-    del end
+    text_of = np.repeat(np.arange(len(texts)), sizes)
     points = np.where(letter, points, 32)
     keep = letter | np.append(True, letter[:-1])  # of each run of others, one
-    keep[np.minimum(starts - 1, len(points) - 1)] = True
+    keep[np.cumsum(sizes) - sizes] = True
     points, text_of = points[keep], text_of[keep]
     hashes, owners = [], []
     for n in SIZES:

@@ -29,7 +29,7 @@ THRESHOLDS: list[tuple[str, float | None, float | None]] = [
     ("symbols_per_word", None, 0.1),
     ("bangs_per_word", None, 0.5),
     ("stop_word_ratio", 0.02, None),
-    ("dup_line_ratio", None, 0.3),
+    ("dup_line_ratio", None, 0.5),
 ]
 
 
@@ -42,12 +42,12 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, SPACES[1:], " " * len(SPACES[1:])), " "), "")
 
 
-def repeated_words(words: Column, size: int = 5) -> Column:
-    """How many words lie in a window of so many words that the list has more than once. words: a column, not an expression."""
+def word_windows(words: Column, size: int) -> tuple[Column, Column]:
+    """Of all windows of so many words: their hashes in order, and (words, place) sorted. words: a column, not an expression."""
     starts = F.sequence(F.lit(0), F.size(words) - size)
     hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(size))))
     windows = F.array_sort(F.transform(starts, lambda i: F.struct(F.slice(words, i + 1, F.lit(size)).alias("w"), i.alias("i"))))
-    return hashes, windows, size
+    return hashes, windows
 
 
 def _covered(windows: Column, size: int) -> Column:
@@ -96,7 +96,8 @@ def judge(docs: DataFrame, text: str = "text", thresholds: list[tuple[str, float
     t = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     rows = rows.select("row", t.alias("text"), word_list(t).alias("words"), F.filter(F.split(t, "\n"), lambda x: without(x, SPACES) != "").alias("lines"))
-    hashes, windows, size = repeated_words(F.col("words"))
+    size = 5
+    hashes, windows = word_windows(F.col("words"), size)
     has = F.size("words") >= size
     rows = rows.select(
         "row",

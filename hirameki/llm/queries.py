@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, langid, near, packing, quality, substrings, tokencount, tokenfiles
+from . import bytebpe, embeddings, langid, linededup, near, packing, quality, substrings, tokencount, tokenfiles
 from .common import shared_dir, ship
 
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.find_duplicate_lines(docs).select("doc_id", "n_lines", "n_removed", "removed")
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
 
@@ -60,5 +65,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_token_counts, op4_byte_bpe, op5_token_files, op6_quality_rules, op7_language_id, op8_packing, op9_substring_dedup)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return embeddings.near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_duplicates, op3_token_counts, op4_byte_bpe, op5_token_files, op6_quality_rules, op7_language_id, op8_packing, op9_substring_dedup, op10_embedding_dedup)}
 ORACLES: dict[str, str] = {"op6_quality_rules": quality.oracle()}

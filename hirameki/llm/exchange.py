@@ -78,9 +78,9 @@ def read_asked(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], tup
 
 def answer_rows(found: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     """The answers, a row per bucket of documents."""
-    if not found:
+    x = np.concatenate([np.zeros(0, ANSWER), *found])
+    if not len(x):
         return
-    x = np.concatenate(found)
     to = (x["key"].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((x["pos"], x["key"], to))
     x, to = x[order], to[order]

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,39 +23,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import begins, blocks, overlaid
-from .encoders import Flat, Numbers, gathered, pieces
+from .encoders import Flat, Numbers, Pieces, gathered
 
-NONE = np.int64(1 << 40)
+#: Stands for a pair that doesn't merge: after all ranks.
+NONE = np.int32((1 << 31) - 1)
 #: Text that one replay takes; distinct words fewer, so memory stays some hundred MB.
-REPLAY_BYTES = 24 << 20
+REPLAY_BYTES = 6 << 20
 
 
-class Ranks:
-    """A rank file: tokens, and the rank that two neighbouring tokens merge into."""
+class Vocabulary:
+    """The tokens of a rank file, to decode with."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        size = max(self.rank.values()) + 1
-        self.tokens = [b""] * size
-        for token, rank in self.rank.items():
-            self.tokens[rank] = token
+        self.lengths = np.zeros(max(self.rank.values()) + 1, np.int64)
+        self.lengths[list(self.rank.values())] = list(map(len, self.rank))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(sorted(self.rank, key=self.rank.get)), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return gathered(self.bytes, self.starts[ids], self.lengths[ids]).tobytes()
+
+
+class Ranks(Vocabulary):
+    """A rank file, and the rank that two neighbouring tokens merge into."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
         missing = [b for b in range(256) if bytes([b]) not in self.rank]
         if missing:
             raise ValueError(f"the rank file lacks single bytes: {missing[:5]}")
         self.of_byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
-        self.bits = int(size).bit_length()
-        pairs = {}
+        self.bits = len(self.lengths).bit_length()
+        keys, merged = array("q"), array("i")
         for token, rank in self.rank.items():
             for i in range(1, len(token)):
                 left, right = self.rank.get(token[:i]), self.rank.get(token[i:])
                 if left is not None and right is not None:
-                    pairs[left << self.bits | right] = rank
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
+                    keys.append(left << self.bits | right)
+                    merged.append(rank)
+        order = np.argsort(keys)
+        self.keys, self.merged = np.array(keys, np.int64)[order], np.array(merged, np.int32)[order]
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NONE if it doesn't merge."""
@@ -78,11 +88,11 @@ class Ranks:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         token = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         n, ends = len(token), np.cumsum(sizes)
-        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
+        right, left = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         right[ends - 1], left[ends - sizes] = -1, -1
         alive = np.ones(n, bool)
         rank = np.full(n, NONE)
-        paired = np.flatnonzero(right >= 0)
+        paired = np.flatnonzero(right >= 0).astype(np.int32)
         rank[paired] = self.pair(token[paired], token[paired + 1])
         odd: list[np.ndarray] = []  # places in words that bring up a lower rank
         index: dict[int, list[np.ndarray]] = {}
@@ -128,7 +138,7 @@ class Ranks:
             if len(lower):
                 odd.append(lower)
             enter(touched)
-        word_of = np.repeat(np.arange(len(words)), sizes)
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         ids, counts = token[alive].astype(np.uint32), np.bincount(word_of[alive], minlength=len(words))
         if odd:
             again = np.unique(word_of[np.concatenate(odd)])
@@ -139,41 +149,39 @@ class Ranks:
             ids = np.concatenate(each)
         return ids, counts
 
-    def encode(self, texts: list[str], pattern) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array, pattern) -> Flat:
         """The ids of each text."""
-        heads, tails, each = Numbers(), Numbers(), []
-        for text in texts:
-            head, *rest = pieces(text, "gap")
-            each.append((heads[head], np.fromiter(map(tails.__getitem__, rest), np.int64, len(rest))))
+        pieces = Pieces(texts, "gap")
         words, parts, sizes = Numbers(), [], []
-        for found in [*(pattern.findall(h) for h in heads), *(pattern.findall(" " + t) for t in tails)]:
-            parts.extend(map(words.__getitem__, found))
+        for i in range(0, len(pieces.distinct), 100_000):
+            for piece in pieces.distinct.slice(i, 100_000).to_pylist():
+                found = pattern.findall(" " + piece)
+                parts.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)) if len(found) != 1 else words[found[0]])
+                sizes.append(len(found))
+        for text in pieces.own:
+            found = pattern.findall(text)
+            parts.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
             sizes.append(len(found))
         encoded = [w.encode() for w in words]
+        del words
         whole = np.fromiter((self.rank.get(w, -1) for w in encoded), np.int64, len(encoded))
-        merge = np.flatnonzero(whole < 0)
+        merge, direct = np.flatnonzero(whole < 0), np.flatnonzero(whole >= 0)
         ids, counts = self.replay([encoded[i] for i in merge.tolist()])
-        by_word = Flat()
-        by_word.add(np.concatenate([whole[whole >= 0].astype(np.uint32), ids]), np.concatenate([np.ones(len(encoded) - len(merge), np.int64), counts]))
+        by_word = Flat(np.concatenate([whole[direct].astype(np.uint32), ids]), np.concatenate([np.ones(len(direct), np.int64), counts]))
         place = np.empty(len(encoded), np.int64)
-        place[np.concatenate([np.flatnonzero(whole >= 0), merge])] = np.arange(len(encoded))
-        part = place[np.array(parts, np.int64)]
-        piece_of = np.repeat(np.arange(len(sizes)), sizes)
-        by_piece = Flat()
-        by_piece.add(by_word[part], np.bincount(piece_of, by_word.lengths[part], len(sizes)).astype(np.int64))
-        return [by_piece[np.append(h, rest + len(heads))] for h, rest in each]
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return gathered(self.bytes, self.starts[ids], self.lengths[ids]).tobytes()
+        place[np.concatenate([direct, merge])] = np.arange(len(encoded))
+        part = place[np.concatenate([np.atleast_1d(p) for p in parts]).astype(np.int64)] if parts else np.zeros(0, np.int64)
+        return by_word.joined(part, np.array(sizes, np.int64)).joined(pieces.order, pieces.counts)
 
 
-_ranks: dict[str, Ranks] = {}
+_loaded: dict[tuple, Vocabulary] = {}
 
 
-def ranks(path: str) -> Ranks:
-    if path not in _ranks:
-        _ranks[path] = Ranks(path)
-    return _ranks[path]
+def loaded(kind: type, path: str):
+    """One per Python worker."""
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
 
 def encoding(path: str, pattern: str):
@@ -184,10 +192,12 @@ def encoding(path: str, pattern: str):
 
         compiled = regex.compile(pattern)
         for batch in blocks(batches, block_bytes=REPLAY_BYTES):
-            each = ranks(path).encode([t or "" for t in batch.column("text").to_pylist()], compiled)
-            for i in range(0, len(each), 1000):  # ids of some MB at a time
-                part = each[i : i + 1000]
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, 1000), pa.array([len(x) for x in part], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())], ["row", "n_tokens", "ids"])
+            encoded = loaded(Ranks, path).encode(batch.column("text"), compiled)
+            for i in range(0, batch.num_rows, 1000):  # ids of some MB at a time
+                n = encoded.lengths[i : i + 1000]
+                ids = encoded.flat[encoded.starts[i] : encoded.starts[i] + n.sum()]
+                data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(n) * 4).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, 1000), pa.array(n), data], ["row", "n_tokens", "ids"])
 
     return run
 
@@ -197,7 +207,7 @@ def decoding(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "ids"):
-            texts = [ranks(path).decode(np.frombuffer(b or b"", "<u4")) for b in batch.column("ids").to_pylist()]
+            texts = [loaded(Vocabulary, path).decode(np.frombuffer(b or b"", "<u4")) for b in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary())], ["row", "decoded"])
 
     return run

@@ -19,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import blocks
-from .encoders import encoder
+from .encoders import ENCODED_BYTES, encoder
 
 PLACED_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 PLACED = pa.schema([(c, pa.binary() if c == "ids" else pa.int64()) for c in ("doc_id", "start", "length", "ids", "doc_tokens", "loss_tokens", "sequence_id", "offset")])
 #: Pieces that wait at a time, and so many are left to wait while more come.
-WAITING, LEFT = 4096, 512
+WAITING, LEFT = 1024, 256
 
 
 class Packer:
@@ -33,7 +33,6 @@ class Packer:
     def __init__(self, tokens: int, segments: int, loss: int):
         if min(tokens, segments, loss) < 1:
             raise ValueError("limits are 1 at least")
-        self.limits = np.array([tokens, segments, loss], float)
         self.max = (tokens, segments, loss)
         self.sequence, self.placed = 0, []
         self.waiting: list[tuple] = []  # example, start, end, first loss-bearing token
@@ -59,36 +58,31 @@ class Packer:
         """Fills sequences until no more than so many pieces wait."""
         items = self.waiting
         start, end, first_loss = (np.array([x[k] for x in items], np.int64) for k in (1, 2, 3))
-        sizes = np.zeros((len(items), 3))
-        sizes[:, 0], sizes[:, 1] = end - start, 1
-        sizes[:, 2] = end - np.maximum(start, np.minimum(first_loss, end))
-        open_, n_open = np.ones(len(items), bool), len(items)
+        size, loss = end - start, end - np.maximum(start, np.minimum(first_loss, end))  # 0: placed as a whole
+        max_tokens, max_segments, max_loss = self.max
+        n_open = len(items)
         while n_open > left:
-            room, offset = self.limits.copy(), 0
-            while n_open and room[0] >= 1 and room[1] >= 1:
-                score = (sizes / self.limits) @ (room / self.limits)
-                fits = open_ & (sizes <= room).all(axis=1)
-                if fits.any():
-                    i = int(np.argmax(np.where(fits, score, -1)))
-                    n = int(sizes[i, 0])
-                else:
-                    i = int(np.argmax(np.where(open_, score, -1)))
-                    n = self.longest(int(start[i]), int(end[i]), int(first_loss[i]), int(room[0]), int(room[2]))
+            tokens, segments, losses, offset = max_tokens, max_segments, max_loss, 0
+            while n_open and tokens and segments:
+                score = size * (tokens / max_tokens**2) + loss * (losses / max_loss**2)  # the segment's share is the same for all
+                fits = (size <= tokens) & (loss <= losses) & (size > 0)
+                i = int(np.argmax(np.where(fits, score, -1)))
+                n = int(size[i])
+                if not fits[i]:
+                    i = int(np.argmax(np.where(size > 0, score, -1)))
+                    n = self.longest(int(start[i]), int(end[i]), int(first_loss[i]), tokens, losses)
                     if n < 1:
                         break
                 s = int(start[i])
-                loss = max(0, s + n - max(s, int(first_loss[i])))
-                self.placed.append((items[i][0], s, n, loss, self.sequence, offset))
-                room -= (n, 1, loss)
-                offset += n
+                bears = max(0, s + n - max(s, int(first_loss[i])))
+                self.placed.append((items[i][0], s, n, bears, self.sequence, offset))
+                tokens, segments, losses, offset = tokens - n, segments - 1, losses - bears, offset + n
                 start[i] += n
-                if start[i] == end[i]:
-                    open_[i] = False
-                    n_open -= 1
-                else:
-                    sizes[i, 0] -= n
-                    sizes[i, 2] -= loss
+                size[i] -= n
+                loss[i] -= bears
+                n_open -= not size[i]
             self.sequence += 1
+        open_ = size > 0
         self.waiting = [(items[i][0], int(start[i]), int(end[i]), int(first_loss[i])) for i in np.flatnonzero(open_)]
 
 
@@ -112,12 +106,11 @@ def packing(path: str, rule: str, end_id: int, tokens: int, segments: int, loss:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(path, rule).encode, Packer(tokens, segments, loss)
         first = TaskContext.get().partitionId() << 40
-        for batch in blocks(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            doc_ids = batch.column("doc_id").to_pylist()
-            froms = batch.column("loss_from").to_pylist() if has_loss else [0] * len(texts)
-            for doc_id, ids, from_ in zip(doc_ids, encode(texts), froms, strict=True):
-                packer.add((doc_id, np.append(ids, np.uint32(end_id))), len(ids) + 1, from_ or 0)
+        for batch in blocks(batches, block_bytes=ENCODED_BYTES):
+            doc_ids, encoded = batch.column("doc_id").to_pylist(), encode(batch.column("text"))
+            froms = batch.column("loss_from").to_pylist() if has_loss else [0] * len(doc_ids)
+            for doc_id, at, n, from_ in zip(doc_ids, encoded.starts.tolist(), encoded.lengths.tolist(), froms, strict=True):
+                packer.add((doc_id, np.append(encoded.flat[at : at + n], np.uint32(end_id))), n + 1, from_ or 0)
             yield from rows(packer, first)
         packer.pack()
         yield from rows(packer, first)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, n_buckets
-from .encoders import encoder
+from .encoders import ENCODED_BYTES, encoder
 
 FILE_DDL = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 ORC = {
@@ -29,7 +29,7 @@ ORC = {
     "orc.bloom.filter.fpp": "0.01",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(16 << 20),
-    "orc.compress": "ZSTD",
+    "orc.compress": "LZ4",
 }
 
 
@@ -38,16 +38,14 @@ def encoding(path: str, rule: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
-        for batch in blocks(batches):
-            each = encoder(path, rule).encode([t or "" for t in batch.column("text").to_pylist()])
-            lengths = np.array([len(x) + 1 for x in each], np.int64)
+        for batch in blocks(batches, block_bytes=ENCODED_BYTES):
+            encoded = encoder(path, rule).encode(batch.column("text"))
+            lengths = encoded.lengths + 1
             ends = np.cumsum(lengths)
-            flat = np.full(int(ends[-1]), end_id, np.int32)
-            for x, end in zip(each, ends.tolist(), strict=True):
-                flat[end - 1 - len(x) : end - 1] = x
+            flat = np.insert(encoded.flat.astype(np.int32), encoded.starts + encoded.lengths, end_id)
             ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(each), part, np.int32)), pa.array(start + ends - lengths), pa.array(lengths), ids], ["doc_id", "part", "local_start", "n_tokens", "ids"]
+                [batch.column("doc_id"), pa.array(np.full(len(lengths), part, np.int32)), pa.array(start + ends - lengths), pa.array(lengths), ids], ["doc_id", "part", "local_start", "n_tokens", "ids"]
             )
             start += int(ends[-1])
 

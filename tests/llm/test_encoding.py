@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 
@@ -23,9 +24,11 @@ TEXTS = ODD + fuzz(300)
 
 @pytest.mark.parametrize("name,rule", [("byte_bpe_50k.json", "gap"), ("word_bpe_49k.json", "drop")])
 def test_pieces_encode_as_whole_texts(name, rule):
-    ours = PieceEncoder(P.path(name), rule, most=50)
-    for part in (TEXTS[:100], TEXTS[100:]):
-        assert [x.tolist() for x in ours.encode(part)] == ours.direct(part)
+    ours = PieceEncoder(P.path(name), rule)
+    latin = ["".join(RND.choices("abé .,!?;:xyzÜ  \n", k=RND.randint(0, 60))) for _ in range(300)]
+    for part in (TEXTS, latin, [], [None, ""], ["İstanbul ΑΣ ǅ dž ﬁ x"]):
+        found = ours.encode(pa.array(part, pa.string()))
+        assert [found.flat[a : a + n].tolist() for a, n in zip(found.starts.tolist(), found.lengths.tolist(), strict=True)] == ours.direct([t or "" for t in part])
 
 
 @pytest.fixture(scope="module")

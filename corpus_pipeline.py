@@ -10,8 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hirameki.cluster import ship
 from hirameki.llm import linededup, near, packing, quality, substrings
-from hirameki.llm.common import ship, written
+from hirameki.llm.common import written
 
 
 def _with_length(docs: DataFrame) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +34,6 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the session's Python workers, once: they need not have it installed."""
-    context = spark.sparkContext
-    if getattr(context, "_shipped_package", None) is None:
-        top = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="package-")
-        context._shipped_package = shutil.make_archive(f"{folder}/{top.name}", "zip", top.parent, top.name)
-        context.addPyFile(context._shipped_package)
-
-
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df, written once as Parquet in the shared folder and read again, and its path: cuts lineage, survives lost executors."""
     spark = df.sparkSession

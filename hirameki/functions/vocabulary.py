@@ -46,7 +46,7 @@ class Vocabulary:
 
 
 def _positions(text: Column) -> Column:
-    return F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).when(F.length(text) == 0, F.array().cast("array<int>"))
 
 
 def _edges(vocabulary: Vocabulary, text: Column, states: Column, k: Column):

@@ -44,8 +44,8 @@ def attach_missing(base: DataFrame, failures: DataFrame, order: str, key: str =
     return base.join(mine, key, "left").withColumn("missing_tokens", F.coalesce("_missing", own)).drop("_missing")
 
 
-def apply_edits(base: DataFrame, edits: DataFrame, key: str = "id") -> DataFrame:
-    """base with the last caption and the last reviewed flag of each id in the log (seq, id, caption, reviewed), and _edited.
+def apply_edits(base: DataFrame, edits: DataFrame, key: str = "id", field: str = "caption_replaced") -> DataFrame:
+    """base with the last caption (as field) and the last reviewed flag of each id in the log (seq, id, caption, reviewed), and _edited.
 
     A row of the log has one of the two (the other null); only captions mark a row as edited. Unknown ids are ignored.
     """
@@ -53,7 +53,7 @@ def apply_edits(base: DataFrame, edits: DataFrame, key: str = "id") -> DataFrame
     flags = last_of(edits.where("reviewed IS NOT NULL"), key, "seq").select(key, F.col("reviewed").alias("_reviewed"))
     joined = base.drop("_edited").join(texts, key, "left").join(flags, key, "left")
     return (
-        joined.withColumn("caption", F.coalesce("_caption", "caption")).withColumn("reviewed", F.coalesce("_reviewed", F.col("reviewed").cast("boolean")))
+        joined.withColumn(field, F.coalesce("_caption", F.col(field))).withColumn("reviewed", F.coalesce("_reviewed", F.col("reviewed").cast("boolean")))
         .withColumn("_edited", F.col("_caption").isNotNull()).drop("_caption", "_reviewed")
     )
 

@@ -413,7 +413,7 @@ def latest_edits(spark, sf_dir):
     base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("caption"), F.lit(False).alias("reviewed"))
     flag = F.col("event_type") == "view"
     log = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), F.when(~flag, F.col("event_type")).alias("caption"), F.when(flag, F.col("value") > 50).alias("reviewed"))
-    return review.apply_edits(base, log).select("id", "caption", "reviewed", F.col("_edited").alias("edited"))
+    return review.apply_edits(base, log, field="caption").select("id", "caption", "reviewed", F.col("_edited").alias("edited"))
 
 
 # Training records

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 __all__ = ["REVIEW_KEYS", "export_document", "reviewed_root", "write_json_lines", "write_pairs_csv", "write_summary"]
 
-#: Keys of the root that a saved review keeps.
-REVIEW_KEYS = ["info", "images", "licenses", "annotations", "simplification"]
+#: Keys of the root that a saved review keeps beside its annotations, null where there is none.
+REVIEW_KEYS = ["info", "images", "licenses", "simplification"]
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
@@ -34,7 +34,7 @@ def write_summary(one: DataFrame, path: str) -> dict[str, Any]:
 
 def reviewed_root(root: dict[str, Any]) -> dict[str, Any]:
     """What a review keeps of a root."""
-    return {k: root.get(k) for k in REVIEW_KEYS if k in root and k != "annotations"}
+    return {k: root.get(k) for k in REVIEW_KEYS}
 
 
 def export_document(rows: DataFrame, root: dict[str, Any], path: str, order: str = "index", indent: int | None = None) -> int:

@@ -85,7 +85,7 @@ def test_review_order_pages_and_edits(spark):
     assert [r["index"] for r in review.page(rows, 1, 2, "s").collect()] == [2, 3]
     base = spark.createDataFrame([(1, "a", None), (2, "b", True)], "id int, caption string, reviewed boolean")
     log = spark.createDataFrame([(1, 1, "x", None), (2, 1, "y", None), (3, 1, None, True), (4, 9, "z", None), (5, 2, None, False)], "seq int, id int, caption string, reviewed boolean")
-    assert sorted(tuple(r) for r in review.apply_edits(base, log).select("id", "caption", "reviewed", "_edited").collect()) == [(1, "y", True, True), (2, "b", False, False)]
+    assert sorted(tuple(r) for r in review.apply_edits(base, log, field="caption").select("id", "caption", "reviewed", "_edited").collect()) == [(1, "y", True, True), (2, "b", False, False)]
     open_rows = spark.createDataFrame([('{"id":1,"z":2}',), ('{"caption":"c","a":null,"missing_tokens":[]}',)], "t string").select(F.parse_json("t").alias("ann"))
     assert [r["name"] for r in review.extra_fields(open_rows).collect()] == ["a", "z"]
     assert review.strictest({"0.95": 1.0, "0.99": 4.0}) == 4.0 and review.strictest(None) is None

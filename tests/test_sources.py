@@ -101,7 +101,7 @@ def test_texts_shards_checkpoints(spark, tmp_path):
 
 
 def test_reviewed_root_drops_scores():
-    assert S.reviewed_root({"info": 1, "lm_scoring": 2, "annotations": [], "simplification": 3}) == {"info": 1, "simplification": 3}
+    assert S.reviewed_root({"info": 1, "lm_scoring": 2, "annotations": [], "simplification": 3}) == {"info": 1, "images": None, "licenses": None, "simplification": 3}
     assert review.strictest({}) is None
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from hirameki.functions import text as T
+from hirameki.functions.text import let
 
 #: Parts the tokens of an n-gram.
 JOINT = "\x1f"
@@ -27,11 +28,6 @@ def f1(precision: Column, recall: Column) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(2 * precision * recall / both)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of the value, which is computed once."""
-    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
-
-
 def _part(mine: Column, theirs: Column) -> Column:
     """F1 of two sets."""
 
@@ -98,8 +94,18 @@ def rouge_l(prediction: Column, reference: Column) -> Column:
 
 
 def numbered(grams: Column) -> Column:
-    """Each n-gram with its number among its equals, so that sets of these count like bags."""
-    return let(F.array_sort(grams), lambda g: F.transform(g, lambda x, i: F.concat(x, F.lit("\x1e"), (i - F.array_position(g, x)).cast("string"))))
+    """Each n-gram with its number among its equals, so that sets of these count like bags. One sort, then linear."""
+
+    def runs(g: Column) -> Column:
+        starts = F.filter(F.transform(g, lambda x, i: F.when((i == 0) | (F.get(g, i - 1) != x), i)), lambda i: i.isNotNull())
+
+        def tagged(s: Column) -> Column:
+            ends = F.concat(F.slice(s, F.lit(2), F.size(s) - 1), F.array(F.size(g)))
+            return F.flatten(F.zip_with(s, ends, lambda lo, hi: F.transform(F.sequence(F.lit(1), hi - lo), lambda j: F.concat(F.get(g, lo), F.lit("\x1e"), j.cast("string")))))
+
+        return F.when(F.size(g) > 0, let(starts, tagged)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.array_sort(grams), runs)
 
 
 def bleu(pairs: DataFrame, prediction: str, reference: str, order: int = 4) -> DataFrame:

@@ -63,8 +63,10 @@ def missing_morphemes(morphemes: Column, vocabulary: Vocabulary) -> Column:
     """Base forms that neither as such, nor in kana, nor as a number are tokens; order and repetitions stay."""
 
     def known(m: Column) -> Column:
-        base = plain_base(m)
-        return F.coalesce(vocabulary.has(base), F.lit(False)) | F.coalesce(vocabulary.has(kana_base(m)), F.lit(False)) | F.coalesce(vocabulary.has(number_text(base)), F.lit(False))
+        def any_form(base: Column) -> Column:
+            return F.exists(F.array(base, kana_base(m), number_text(base)), lambda f: F.coalesce(vocabulary.has(f), F.lit(False)))
+
+        return T.let(plain_base(m), any_form)
 
     return F.filter(F.transform(F.filter(morphemes, lambda m: ~known(m)), plain_base), lambda b: b != "")
 
@@ -136,11 +138,14 @@ def conjugated(lemma: Column, form: Column, kind: Column) -> Column:
 
 def replaced_token(m: Column, vocabulary: Vocabulary, replacements: dict[str, str]) -> Column:
     """A replacement by base form, kana or number; else the surface if one of them is a token; else `文字` for Latin letters if that is a token; else the base form."""
-    base = plain_base(m)
-    kana, number = kana_base(m), number_text(base)
-    known = F.coalesce(vocabulary.has(base), F.lit(False)) | F.coalesce(vocabulary.has(_given(kana)), F.lit(False)) | F.coalesce(vocabulary.has(number), F.lit(False))
-    latin = F.when(T.is_latin(base), "文字") if "文字" in set(vocabulary.tokens) else F.lit(None).cast("string")
-    return F.coalesce(_mapped(base, replacements), _mapped(_given(kana), replacements), _mapped(number, replacements), F.when(known, m["surface"]), latin, base)
+    latin = (lambda base: F.when(T.is_latin(base), "文字")) if "文字" in set(vocabulary.tokens) else (lambda _: F.lit(None).cast("string"))
+
+    def of(x: Column) -> Column:
+        forms = [x["base"], x["kana"], x["number"]]
+        known = F.exists(F.array(*forms), lambda f: F.coalesce(vocabulary.has(f), F.lit(False)))
+        return F.coalesce(*[_mapped(f, replacements) for f in forms], F.when(known, m["surface"]), latin(x["base"]), x["base"])
+
+    return T.let(plain_base(m), lambda base: T.let(F.struct(base.alias("base"), _given(kana_base(m)).alias("kana"), number_text(base).alias("number")), of))
 
 
 def replaced_caption(morphemes: Column, vocabulary: Vocabulary, replacements: dict[str, str], classes: dict[str, str | None] | None = None) -> Column:
@@ -159,10 +164,10 @@ def replaced_caption(morphemes: Column, vocabulary: Vocabulary, replacements: di
 
     def step(s: Column, i: Column) -> Column:
         m, after = F.element_at(morphemes, i), F.try_element_at(morphemes, i + 1)
-        lemma = F.when(is_verb(m), _mapped(plain_base(m), replacements))
-        both = F.when(lemma.isNotNull() & (i < n), conjugated(lemma, after["surface"], kind(lemma)))
-        out = F.coalesce(both, replaced_token(m, vocabulary, replacements))
-        return F.when(s["skip"], F.struct(s["out"].alias("out"), F.lit(False).alias("skip"))).otherwise(F.struct(F.concat(s["out"], out).alias("out"), both.isNotNull().alias("skip")))
+        verb = F.when(is_verb(m) & (i < n), _mapped(plain_base(m), replacements))
+        both = T.let(verb, lambda lemma: F.when(lemma.isNotNull(), T.let(kind(lemma), lambda k: conjugated(lemma, after["surface"], k))))
+        taken = T.let(both, lambda b: F.struct(F.concat(s["out"], F.coalesce(b, replaced_token(m, vocabulary, replacements))).alias("out"), b.isNotNull().alias("skip")))
+        return F.when(s["skip"], F.struct(s["out"].alias("out"), F.lit(False).alias("skip"))).otherwise(taken)
 
     start = F.struct(F.lit("").alias("out"), F.lit(False).alias("skip"))
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))

@@ -264,6 +264,35 @@ def attach_missing(spark, sf_dir):
     return review.payload(review.attach_missing(base, failures, "turn").withColumn("reviewed", F.lit(None).cast("boolean"))).select(F.col("id").alias("doc_id"), F.size("missing_tokens").cast("long").alias("n_missing"))
 
 
+@query("SELECT event_id, json_extract_string(props, '$.k') AS source, event_type AS caption FROM events")
+def source_copy_if_absent(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("caption"), F.parse_json("props").alias("ann"))
+    return dataset.with_source_copy(rows, "source", "k").select("event_id", F.expr("variant_get(ann, '$.source', 'string')").alias("source"), "caption")
+
+
+@query("SELECT DISTINCT unnest(json_keys(props)) AS name FROM events")
+def open_row_fields(spark, sf_dir):
+    return review.extra_fields(table(spark, sf_dir, "events").select(F.parse_json("props").alias("ann")))
+
+
+@query("""WITH f AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(text, '[ \t-\r]+'), lambda x: x <> '')) AS w FROM conversations)
+    SELECT token, count(*) AS count FROM (SELECT CASE WHEN instr(w, '-') > 1 AND instr(w, '-') < length(w) THEN split_part(w, '-', 1) ELSE w END AS token FROM f) GROUP BY token""")
+def normalized_token_counts(spark, sf_dir):
+    rows = providers.morphemes(table(spark, sf_dir, "conversations").select("text"), "text", providers.WhiteSpaceAnalyzer)
+    return coverage.frequencies(rows, coverage.normalized_tokens(F.col("morphemes"), normalize=True))
+
+
+@query("SELECT conv_id, turn, len(m) AS n_missing FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \t-\r]+'), lambda x: x <> '' AND x NOT IN ('the', 'of', 'and', 'la', 'de')) AS m FROM conversations)")
+def missing_by_morphemes(spark, sf_dir):
+    rows = providers.morphemes(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", providers.WhiteSpaceAnalyzer)
+    return rows.select("conv_id", "turn", F.size(M.missing_morphemes(F.col("morphemes"), Vocabulary(["the", "of", "and", "la", "de"]))).cast("long").alias("n_missing"))
+
+
+@query("SELECT event_id AS step FROM events WHERE event_type = 'signup' ORDER BY event_id DESC LIMIT 2")
+def kept_checkpoints(spark, sf_dir):
+    return training.kept_checkpoints(table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("event_id").alias("step")))
+
+
 # Metrics
 
 

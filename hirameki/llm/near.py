@@ -7,11 +7,12 @@ the earliest time of all points not above the weights of their shingles, so two
 probability of their weighted Jaccard similarity. Points of a shingle are drawn one by one, in order of time, and only
 while they come before the latest register, so most shingles draw a point or two.
 
-Signatures are banded. In a bucket the members that a hash of document and band puts first are hubs, and every member
-is a candidate with each hub; a block of documents settles its own buckets and sends only its hubs on, so neither a
-task nor the pairs grow with the square of a group. In groups of up to hubs + 1 members all pairs are candidates. A
-pair whose signatures agree far too little is dropped; of the rest, per document the best first, the overlap of the
-bags themselves is computed, until no pair of different classes is left untested.
+Signatures are banded. In a bucket the members that a hash puts first are hubs (one of four hashes, by band), and every
+member is a candidate with each hub; a block of documents sends only the first members of its buckets on and settles
+the others, so neither a task nor the pairs grow with the square of a group. In buckets of up to `whole` members all
+pairs are candidates; in larger ones a link is found if a chain of hubs leads along it, in any of the 32 bands. A
+pair whose signatures agree far too little is dropped; of the rest, first the best few of each document, then all that
+still join different classes, the overlap of the bags themselves is computed.
 
 Texts with the same words are one node from the start. Nulls, empty texts and texts without words link with nothing.
 A null doc_id comes after all numbers; repeated rows (same doc_id, same text) share a class, and one of them is kept.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import BASES, LAST, Rolling, begins, blocks, mixed, n_buckets, ordered, overlaid, removed, text_bytes, words, written
 from .components import components
 
+#: Orders in which bands take their hubs; a band's key has the number of its order in its lowest bits.
+ORDERS = 4
 GAMMA = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,7 +113,8 @@ def signing(size: int, registers: int, band: int):
             keys = np.zeros((len(firsts), registers // band), np.uint64)
             for j in range(band):
                 keys = mixed(keys * GAMMA + signature[:, j::band][:, : registers // band])
-            keys = mixed(keys + np.arange(registers // band, dtype=np.uint64))
+            turns = np.arange(registers // band, dtype=np.uint64)
+            keys = mixed(keys + turns) // np.uint64(ORDERS) * np.uint64(ORDERS) + turns % np.uint64(ORDERS)
             signs = (signature & np.uint64(0xFF)).astype(np.uint8)
             total = np.bincount(d, n, batch.num_rows).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -132,18 +136,23 @@ EXCHANGED_DDL = "bucket int, members binary, pairs binary"
 PAIRS_DDL = "a_ord long, a_key long, b_ord long, b_key long"
 
 
-def hub_pairs(m: np.ndarray, hubs: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of each member of a bucket with its hubs, and the hubs."""
-    turn = mixed(m["band"] ^ mixed(m["key"].view(np.uint64)))
+def hub_pairs(m: np.ndarray, hubs: int, whole: int, all_here: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket's members with its hubs, and its first members: hubs and those that may have to be hubs.
+
+    all_here: buckets are complete, so those of up to whole members give all pairs. Otherwise they are a block's, and
+    only members after the first whole are settled here.
+    """
+    turn = mixed(m["band"] % np.uint64(ORDERS) ^ mixed(m["key"].view(np.uint64)))
     order = np.lexsort((m["key"], m["ord"], turn, m["band"]))
     m = m[order]
     m = m[begins(m["band"], m["ord"], m["key"])]
     new = begins(m["band"])
     first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(m) else np.zeros(0, np.int64)
     place = np.arange(len(m)) - first
+    size = np.diff(np.append(np.flatnonzero(new), len(m)))[np.cumsum(new) - 1] if len(m) else place
     out = []
-    for k in range(hubs):
-        has = np.flatnonzero(place > k)
+    for k in range(whole if all_here else hubs):
+        has = np.flatnonzero((place > k) & ((k < hubs) | (size <= whole)) if all_here else place >= whole)
         p = np.zeros(len(has), PAIR)
         hub = m[first[has] + k]
         p["x"], p["xk"], p["y"], p["yk"] = m["ord"][has], m["key"][has], hub["ord"], hub["key"]
@@ -152,10 +161,10 @@ def hub_pairs(m: np.ndarray, hubs: int) -> tuple[np.ndarray, np.ndarray]:
     flip = (pairs["x"] > pairs["y"]) | ((pairs["x"] == pairs["y"]) & (pairs["xk"] > pairs["yk"]))
     pairs["x"][flip], pairs["y"][flip] = pairs["y"][flip].copy(), pairs["x"][flip].copy()
     pairs["xk"][flip], pairs["yk"][flip] = pairs["yk"][flip].copy(), pairs["xk"][flip].copy()
-    return np.unique(pairs), m[place < hubs]
+    return np.unique(pairs), m[place < whole]
 
 
-def sending(hubs: int, buckets: int):
+def sending(hubs: int, whole: int, buckets: int):
     """mapInArrow function: nodes with bands to a row per bucket with hubs to compare and pairs already known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +175,7 @@ def sending(hubs: int, buckets: int):
             keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), "<u8")
             m = np.zeros(len(keys), MEMBER)
             m["band"], m["ord"], m["key"] = keys, np.repeat(batch.column("ord").to_numpy(), len(keys) // n), np.repeat(batch.column("key").to_numpy(), len(keys) // n)
-            pairs, m = hub_pairs(m, hubs)
+            pairs, m = hub_pairs(m, hubs, whole, all_here=False)
             to, pair_to = ((x >> np.uint64(8)) % np.uint64(buckets) for x in (m["band"], mixed(pairs["xk"].view(np.uint64)) ^ pairs["yk"].view(np.uint64)))
             order, pair_order = np.lexsort((m["ord"], to)), np.argsort(pair_to, kind="stable")
             m, to, pairs, pair_to = m[order], to[order], pairs[pair_order], pair_to[pair_order]
@@ -181,7 +190,7 @@ def sending(hubs: int, buckets: int):
     return run
 
 
-def pairing(hubs: int):
+def pairing(hubs: int, whole: int):
     """mapInArrow function over whole buckets: the candidate pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +200,7 @@ def pairing(hubs: int):
             pairs.append(np.frombuffer(b"".join(batch.column("pairs").to_pylist()), PAIR))
         if not members:
             return
-        found, _ = hub_pairs(np.concatenate(members), hubs)
+        found, _ = hub_pairs(np.concatenate(members), hubs, whole, all_here=True)
         p = np.unique(np.concatenate([found, *pairs]))
         for i in range(0, len(p), 100_000):
             part = p[i : i + 100_000]
@@ -255,7 +264,7 @@ def node(ord_: str, key: str):
     return F.struct(F.col(ord_).alias("ord"), F.col(key).alias("key"))
 
 
-def links(keyed: DataFrame, size: int, least: float, registers: int, band: int, hubs: int, slack: float) -> tuple[DataFrame, DataFrame, list[str]]:
+def links(keyed: DataFrame, size: int, least: float, registers: int, band: int, hubs: int, whole: int, slack: float) -> tuple[DataFrame, DataFrame, list[str]]:
     """keyed: ord, key, text. Returns members (ord, key, node: the first row with the same words), verified links of nodes (a, b), and tables to remove."""
     spark = keyed.sparkSession
     signed, at = written(keyed.mapInArrow(signing(size, registers, band), SIGNED_DDL))
@@ -265,17 +274,17 @@ def links(keyed: DataFrame, size: int, least: float, registers: int, band: int,
     made.append(at)
     members = signed.select("ord", "key", "one", "two").join(nodes.select("one", "two", "node"), ["one", "two"]).select("ord", "key", "node")
     buckets = n_buckets(nodes)
-    sent = nodes.select("node.ord", "node.key", "bands").mapInArrow(sending(hubs, buckets), EXCHANGED_DDL)
-    paired = sent.repartition(buckets, "bucket").mapInArrow(pairing(hubs), PAIRS_DDL).distinct()
+    sent = nodes.select("node.ord", "node.key", "bands").mapInArrow(sending(hubs, whole, buckets), EXCHANGED_DDL)
+    paired = sent.repartition(buckets, "bucket").mapInArrow(pairing(hubs, whole), PAIRS_DDL).distinct()
     pairs = paired.select(node("a_ord", "a_key").alias("a"), node("b_ord", "b_key").alias("b"))
     signs = nodes.select("node", "signs")
     with_signs = pairs.join(signs.select(F.col("node").alias("a"), F.col("signs").alias("a_signs")), "a").join(signs.select(F.col("node").alias("b"), F.col("signs").alias("b_signs")), "b")
     open_, open_at = written(with_signs.select("a", "b", "a_signs", "b_signs").mapInArrow(agreeing(least - slack), f"a {NODE}, b {NODE}, share double"))
     named = open_.select(F.col("a").alias("node")).union(open_.select(F.col("b").alias("node"))).distinct()
-    texts = keyed.select(node("ord", "key").alias("node"), "text").join(named, "node", "left_semi").dropDuplicates(["node"])
+    texts = keyed.select(node("ord", "key").alias("node"), "text").join(named.hint("merge"), "node", "left_semi").dropDuplicates(["node"])  # named grows with the documents
     bags, at = written(texts.mapInArrow(bagging(size), f"node {NODE}, bag binary"))
     made.append(at)
-    found, label, take = None, None, 2
+    found, label, take = None, None, 4
     while not open_.isEmpty():
         best = F.row_number().over(Window.partitionBy("a").orderBy(F.col("share").desc(), "b"))
         ranked, at = written(open_.withColumn("turn", best))
@@ -291,23 +300,23 @@ def links(keyed: DataFrame, size: int, least: float, registers: int, band: int,
         rest = rest.join(label.select(F.col("node").alias("a"), F.col("label").alias("of_a")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("of_b")), "b", "left")
         open_, open_at = written(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "share"))
         removed(spark, at)
-        take *= 4
+        take = 1 << 30  # what is left at all
     if label is None:
         label = spark.createDataFrame([], f"node {NODE}, label {NODE}")
     return members, label, made
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, least: float = 0.8, registers: int = 128, band: int = 4, hubs: int = 8, slack: float = 0.2) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, least: float = 0.8, registers: int = 128, band: int = 4, hubs: int = 3, whole: int = 9, slack: float = 0.2) -> DataFrame:
     """docs with class_id (smallest doc_id of the class; null if that is null) and kept (one row of each class: its first).
 
     A class is connected by pairs of weighted Jaccard similarity least or more. band: registers per band (a pair at
-    0.8 is missed by 32 bands of 4 with probability 5e-8). slack: how far below least the share of equal registers may
+    0.8 is missed by 32 bands of 4 with probability 5e-8). hubs: of a bucket of more than whole members. slack: how far below least the share of equal registers may
     be before a pair is dropped untested (0.2 is over five standard deviations of 128 registers).
     """
     if registers % band:
         raise ValueError("band divides registers")
     rows = ordered(docs, text, doc_id)
-    members, label, _ = links(rows.select("ord", "key", "text"), size, least, registers, band, hubs, slack)
+    members, label, _ = links(rows.select("ord", "key", "text"), size, least, registers, band, hubs, whole, slack)
     classes = members.dropDuplicates(["ord", "key"]).join(label, "node", "left").select("ord", "key", F.coalesce("label", "node").alias("class"))
     joined = rows.drop("text").join(classes, ["ord", "key"], "left")
     first = F.row_number().over(Window.partitionBy("ord", "key").orderBy(F.lit(0))) == 1

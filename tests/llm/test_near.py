@@ -96,8 +96,11 @@ def test_signatures_are_unbiased():
 def test_a_large_group_makes_few_pairs():
     m = np.zeros(5000, near.MEMBER)
     m["band"], m["ord"], m["key"] = 7, np.arange(5000), np.random.default_rng(1).integers(0, 1 << 62, 5000)
-    pairs, hubs = near.hub_pairs(m, 8)
-    assert len(hubs) == 8 and len(pairs) == 8 * 5000 - 36
+    pairs, _ = near.hub_pairs(m, 3, 9, all_here=True)
+    assert len(pairs) == 3 * 5000 - 6
+    settled, first = near.hub_pairs(m, 3, 9, all_here=False)
+    assert len(first) == 9 and len(settled) == 3 * (5000 - 9)
+    assert len(near.hub_pairs(m[:9], 3, 9, all_here=True)[0]) == 36 and len(near.hub_pairs(m[:9], 3, 9, all_here=False)[0]) == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 50])

@@ -116,7 +116,9 @@ def judge(docs: DataFrame, text: str = "text", thresholds: list[tuple[str, float
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("kept", ~failed & compiled(THRESHOLDS if thresholds is None else thresholds))
     new = [*COUNTS, "base_failed", "kept"]
-    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in new], *new)
+    # a list of one struct, taken apart again: a filter on the verdict stays above, else it would repeat all expressions
+    once = rows.select("row", F.inline(F.array(F.struct(*new))))
+    return once.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in new], *new)
 
 
 def oracle(source: str = "documents") -> str:

@@ -73,4 +73,26 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_duplicates, op3_token_counts, op4_byte_bpe, op5_token_files, op6_quality_rules, op7_language_id, op8_packing, op9_substring_dedup, op10_embedding_dedup)}
-ORACLES: dict[str, str] = {"op6_quality_rules": quality.oracle()}
+WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
+REACH = """both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT reach.a, both_ways.y FROM reach JOIN both_ways ON reach.b = both_ways.x)"""
+
+ORACLES: dict[str, str] = {
+    "op2_near_duplicates": f"""WITH RECURSIVE nodes AS (SELECT doc_id AS id, {WORDS} AS w FROM documents),
+    shingles AS (SELECT id, g, count(*) AS c FROM (SELECT id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM nodes)) GROUP BY id, g),
+    total AS (SELECT id, sum(c) AS n FROM shingles GROUP BY id),
+    shared AS (SELECT a.id AS x, b.id AS y, sum(least(a.c, b.c)) AS s FROM shingles a JOIN shingles b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
+    links AS (SELECT x, y FROM shared JOIN total p ON p.id = x JOIN total q ON q.id = y WHERE s >= 0.8 * (p.n + q.n - s)), {REACH}
+    SELECT a AS doc_id, min(b) AS class_id, min(b) = a AS kept FROM reach GROUP BY a""",
+    "op6_quality_rules": quality.oracle(),
+    "op9_substring_dedup": f"""WITH w AS (SELECT doc_id, {WORDS} AS words FROM documents),
+    windows AS (SELECT doc_id, i, array_to_string(words[i : i + 19], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w)),
+    again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
+    gone AS (SELECT doc_id, i + j AS p, true AS hit FROM again, range(20) AS s(j) GROUP BY doc_id, p),
+    each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w)
+    SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN
+      (SELECT doc_id, count(hit) AS n, string_agg(word, ' ' ORDER BY p) FILTER (hit IS NULL) AS kept FROM each LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id) USING (doc_id)""",
+    "op10_embedding_dedup": f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+    links AS (SELECT a.id AS x, b.id AS y FROM nodes a JOIN nodes b ON a.id < b.id AND list_dot_product(a.v, b.v) >= 0.9 * sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), {REACH}
+    SELECT a AS vec_id, (SELECT count(*) FROM both_ways WHERE x = a) AS n_links, min(b) AS component_id, min(b) = a AS kept FROM reach GROUP BY a""",
+}

@@ -110,16 +110,20 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     of their largest share in any language. The filter has 2**bits places. 64 languages at most.
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    sample = rows.withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(65).collect()}  # a row per language
+    if len(sizes) > 64:
+        raise ValueError("64 languages at most")
+    drawn = F.lit(False)  # about four times per_language, so that few texts are shuffled
+    for name, size in sizes.items():
+        drawn = drawn | ((F.col("lang") == name) & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, 4 * per_language / size)))))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 30)), F.xxhash64("text"), "text"))
+    sample = rows.where(drawn).withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth")
     counts = sample.mapInArrow(counting, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     of_all = F.sum("n").over(Window.partitionBy("lang"))
     found = counts.withColumn("all", of_all).withColumn("nth", top).where(F.col("nth") <= most_grams).select("lang", "gram", (F.col("n") / F.col("all")).alias("share")).toArrow()
     names, grams, shares = found["lang"].to_pylist(), found["gram"].to_numpy().view(np.uint64), found["share"].to_numpy()
     languages = sorted(set(names))
-    if len(languages) > 64:
-        raise ValueError("64 languages at most")
     kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * t().itemsize)
     model = Model(languages, np.zeros(1 << bits, kind), hashes, np.zeros(len(languages)))
     if not languages:

@@ -9,10 +9,13 @@ while they come before the latest register, so most shingles draw a point or two
 
 Signatures are banded. In a bucket the members that a hash puts first are hubs (one of four hashes, by band), and every
 member is a candidate with each hub; a block of documents sends only the first members of its buckets on and settles
-the others, so neither a task nor the pairs grow with the square of a group. In buckets of up to `whole` members all
-pairs are candidates; in larger ones a link is found if a chain of hubs leads along it, in any of the 32 bands. A
-pair whose signatures agree far too little is dropped; of the rest, first the best few of each document, then all that
-still join different classes, the overlap of the bags themselves is computed.
+the others, so the pairs don't grow with the square of a group. In buckets of up to `whole` members all pairs are
+candidates. A pair whose signatures agree far too little is dropped; of the rest, first the best few of each document,
+then all that still join different classes, the overlap of the bags themselves is computed.
+
+The members of a larger bucket that hubs have not brought into its main class are then a query set: in blocks of
+queries against blocks of members, signatures are compared, and each query's closest members of other classes are
+candidates once more. That work is the query set times the bucket; what leaves a block is a pair or two for a query.
 
 Texts with the same words are one node from the start. Nulls, empty texts and texts without words link with nothing.
 A null doc_id comes after all numbers; repeated rows (same doc_id, same text) share a class, and one of them is kept.
@@ -32,6 +35,8 @@ from .components import components
 
 #: Orders in which bands take their hubs; a band's key has the number of its order in its lowest bits.
 ORDERS = 4
+#: Pairs of each document that are verified before those that still join different classes.
+FIRST = 4
 GAMMA = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -257,6 +262,57 @@ def verifying(least: float):
     return run
 
 
+#: Members and queries of a crowded bucket that one task holds.
+BLOCK = 4096
+#: Closest members of other classes that a query gives from a block.
+CLOSEST = 5
+
+
+def unpacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: ord, key, bands to band, ord, key."""
+    for batch in batches:
+        if batch.num_rows:
+            bands = np.frombuffer(b"".join(batch.column("bands").to_pylist()), "<i8")
+            each = len(bands) // batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(bands), *(pa.array(np.repeat(batch.column(c).to_numpy(), each)) for c in ("ord", "key"))], ["band", "ord", "key"])
+
+
+def closest(least: float):
+    """mapInArrow function over (band, i, j) with queries first: pairs of each query with its closest members of other classes."""
+
+    def compared(q: dict, m: dict) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(q["cls"]), 64):
+            share = (np.count_nonzero(q["signs"][i : i + 64, None, :] == m["signs"][None, :, :], axis=2) / q["signs"].shape[1] - 1 / 256) / (1 - 1 / 256)
+            share[q["cls"][i : i + 64, None] == m["cls"][None, :]] = -1
+            for _ in range(min(CLOSEST, share.shape[1])):
+                j = share.argmax(axis=1)
+                best = share[np.arange(len(j)), j]
+                share[np.arange(len(j)), j] = -1
+                ok = np.flatnonzero(best >= least)
+                if len(ok):
+                    yield pa.RecordBatch.from_arrays([pa.array(q["ord"][i + ok]), pa.array(q["key"][i + ok]), pa.array(m["ord"][j[ok]]), pa.array(m["key"][j[ok]]), pa.array(best[ok])], ["a_ord", "a_key", "b_ord", "b_key", "share"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, queries = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("band", "i", "j")], axis=1)
+            x = {c: batch.column(c).to_numpy() for c in ("ord", "key", "cls")} | {"signs": np.frombuffer(b"".join(batch.column("signs").to_pylist()), np.uint8).reshape(batch.num_rows, -1)}
+            asks = np.asarray(batch.column("asks"))
+            at = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1) | (asks[1:] != asks[:-1])))
+            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(asks)], strict=True):
+                if tuple(group[lo].tolist()) != current:
+                    current, queries = tuple(group[lo].tolist()), []
+                mine = {c: v[lo:hi] for c, v in x.items()}
+                if asks[lo]:
+                    queries.append(mine)
+                elif queries:
+                    yield from compared({c: np.concatenate([q[c] for q in queries]) for c in mine}, mine)
+
+    return run
+
+
 NODE = "struct<ord:bigint,key:bigint>"
 
 
@@ -280,29 +336,47 @@ def links(keyed: DataFrame, size: int, least: float, registers: int, band: int,
     signs = nodes.select("node", "signs")
     with_signs = pairs.join(signs.select(F.col("node").alias("a"), F.col("signs").alias("a_signs")), "a").join(signs.select(F.col("node").alias("b"), F.col("signs").alias("b_signs")), "b")
     open_, open_at = written(with_signs.select("a", "b", "a_signs", "b_signs").mapInArrow(agreeing(least - slack), f"a {NODE}, b {NODE}, share double"))
-    named = open_.select(F.col("a").alias("node")).union(open_.select(F.col("b").alias("node"))).distinct()
+    flat = nodes.select("node.ord", "node.key", "bands").mapInArrow(unpacking, "band long, ord long, key long")
+    large = flat.groupBy("band").count().where(F.col("count") > whole)
+    crowded, at = written(flat.join(large, "band").select("band", "count", node("ord", "key").alias("node")))
+    made.append(at)
+    named = open_.select(F.col("a").alias("node")).union(open_.select(F.col("b").alias("node"))).union(crowded.select("node")).distinct()
     texts = keyed.select(node("ord", "key").alias("node"), "text").join(named.hint("merge"), "node", "left_semi").dropDuplicates(["node"])  # named grows with the documents
     bags, at = written(texts.mapInArrow(bagging(size), f"node {NODE}, bag binary"))
     made.append(at)
-    found, label, take = None, None, 4
-    while not open_.isEmpty():
-        best = F.row_number().over(Window.partitionBy("a").orderBy(F.col("share").desc(), "b"))
-        ranked, at = written(open_.withColumn("turn", best))
-        removed(spark, open_at)
-        now = ranked.where(F.col("turn") <= take)
-        bagged = now.select("a", "b").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("a_bag")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("b_bag")), "b")
-        verified = bagged.select("a", "b", "a_bag", "b_bag").mapInArrow(verifying(least), f"a {NODE}, b {NODE}, similarity double")
-        found_now, found_at = written(verified)
-        made.append(found_at)
-        found = found_now if found is None else found.union(found_now)
-        label = components(found)
-        rest = ranked.where(F.col("turn") > take).select("a", "b", "share")
-        rest = rest.join(label.select(F.col("node").alias("a"), F.col("label").alias("of_a")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("of_b")), "b", "left")
-        open_, open_at = written(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "share"))
-        removed(spark, at)
-        take = 1 << 30  # what is left at all
-    if label is None:
-        label = spark.createDataFrame([], f"node {NODE}, label {NODE}")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        bagged = pairs.select("a", "b").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("a_bag")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("b_bag")), "b")
+        found, at = written(bagged.select("a", "b", "a_bag", "b_bag").mapInArrow(verifying(least), f"a {NODE}, b {NODE}, similarity double"))
+        made.append(at)
+        return found
+
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.col("share").desc(), "b"))
+    ranked, at = written(open_.withColumn("turn", best))
+    removed(spark, open_at)
+    found = verified(ranked.where(F.col("turn") <= FIRST))
+    label = components(found)
+    rest = ranked.where(F.col("turn") > FIRST).select("a", "b").join(label.select(F.col("node").alias("a"), F.col("label").alias("of_a")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("of_b")), "b", "left")
+    found = found.union(verified(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))))
+    removed(spark, at)
+    label = components(found)
+
+    classes = label.select("node", F.xxhash64("label").alias("cls"))
+    placed = crowded.join(classes, "node", "left").withColumn("cls", F.coalesce("cls", F.xxhash64("node")))
+    sizes = placed.groupBy("band", "cls").count()
+    main = sizes.groupBy("band").agg(F.max(F.struct("count", "cls")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("band", F.col("m.cls").alias("main"))
+    several = placed.join(main, "band").join(signs, "node")
+    several, at = written(several.select("band", F.col("node.ord").alias("ord"), F.col("node.key").alias("key"), "cls", "signs", (F.col("cls") != F.col("main")).alias("asks"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    made.append(at)
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["band", "i", "j", "asks", "ord", "key", "cls", "signs"]
+    queries = several.where("asks").withColumn("i", own).withColumn("j", every).select(columns)
+    others = several.withColumn("asks", F.lit(False)).withColumn("j", own).withColumn("i", every).select(columns)
+    dealt = queries.union(others).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", F.col("asks").desc())
+    close = dealt.mapInArrow(closest(least - slack / 2), f"{PAIRS_DDL}, share double")
+    once = close.select(F.least(node("a_ord", "a_key"), node("b_ord", "b_key")).alias("a"), F.greatest(node("a_ord", "a_key"), node("b_ord", "b_key")).alias("b")).distinct()
+    label = components(found.union(verified(once)))
     return members, label, made
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import begins
+from .common import LAST, begins
 
 #: A row of the exchange: packed questions to a bucket (ord null), or an answer that needs none.
 ASKED = pa.schema([("bucket", pa.int32()), ("ord", pa.int64()), ("key", pa.int64()), ("data", pa.binary())])
@@ -35,6 +35,22 @@ def known_rows(said: np.ndarray, ords: np.ndarray, keys: np.ndarray) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array((keys[docs] & 0x7FFFFFFF).astype(np.int32)), pa.array(ords[docs]), pa.array(keys[docs]), pa.array(data, pa.binary())], schema=ASKED)
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """64-bit integers as the least and 32-bit differences, or as they are if those don't fit (then the least is the largest there is)."""
+    low = int(values.min())
+    if int(values.max()) - low < 1 << 32 and low != LAST:
+        return np.int64(low).tobytes() + (values - low).astype("<u4").tobytes()
+    return np.int64(LAST).tobytes() + values.tobytes()
+
+
+def widened(raw, n: int, at: int) -> tuple[np.ndarray, int]:
+    """n values of narrow() in a buffer, and where they end."""
+    low = int(np.frombuffer(raw, "<i8", 1, at)[0])
+    if low == LAST:
+        return np.frombuffer(raw, "<i8", n, at + 8), at + 8 + 8 * n
+    return np.frombuffer(raw, "<u4", n, at + 8).astype(np.int64) + low, at + 8 + 4 * n
+
+
 def asked_rows(asked: np.ndarray, ords: np.ndarray, keys: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The questions, a row per bucket."""
     if len(asked):
@@ -44,8 +60,8 @@ def asked_rows(asked: np.ndarray, ords: np.ndarray, keys: np.ndarray, bucket: np
         data = []
         for x in np.split(asked, at[1:]):
             docs, doc = np.unique(x["doc"], return_inverse=True)
-            cols = (x["h"], x["g"], doc.astype("<u4"), x["pos"], x["more"])
-            data.append(b"".join([np.array([len(docs), len(x)], "<u4").tobytes(), ords[docs].tobytes(), keys[docs].tobytes(), *(np.ascontiguousarray(c).tobytes() for c in cols)]))
+            cols = (x["h"], x["g"], doc.astype("<u2" if len(docs) < 1 << 16 else "<u4"), x["pos"], x["more"])
+            data.append(b"".join([np.array([len(docs), len(x)], "<u4").tobytes(), narrow(ords[docs]), keys[docs].tobytes(), *(np.ascontiguousarray(c).tobytes() for c in cols)]))
         none = pa.nulls(len(at), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), none, none, pa.array(data, pa.binary())], schema=ASKED)
 
@@ -65,11 +81,12 @@ def read_asked(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], tup
         for blob in batch.filter(batch.column("ord").is_null()).column("data"):
             raw = blob.as_buffer()
             docs, n = np.frombuffer(raw, "<u4", 2).tolist()
-            ords, keys = np.frombuffer(raw, "<i8", docs, 8), np.frombuffer(raw, "<i8", docs, 8 + 8 * docs)
-            at = 8 + 16 * docs
-            h, g = np.frombuffer(raw, "<u8", n, at), np.frombuffer(raw, "<u4", n, at + 8 * n)
-            doc, pos = np.frombuffer(raw, "<u4", n, at + 12 * n), np.frombuffer(raw, "<u4", n, at + 16 * n)
-            more = np.frombuffer(raw, "u1", n, at + 20 * n)
+            ords, at = widened(raw, docs, 8)
+            columns = []
+            for kind, count in (("<i8", docs), ("<u8", n), ("<u4", n), ("<u2" if docs < 1 << 16 else "<u4", n), ("<u4", n), ("u1", n)):
+                columns.append(np.frombuffer(raw, kind, count, at))
+                at += columns[-1].nbytes
+            keys, h, g, doc, pos, more = columns
             for to, x in zip(parts, (h, g, ords[doc], keys[doc], pos, more), strict=True):
                 to.append(x)
     kinds = ("<u8", "<u4", "<i8", "<i8", "<u4", "u1")

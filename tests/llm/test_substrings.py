@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from hirameki.llm.exchange import narrow, widened
 from hirameki.llm.substrings import levels, remove_repeats
 
 
@@ -61,3 +62,18 @@ def test_levels():
     assert levels(20, 10) == [10, 20] and levels(40, 10) == [10, 20, 40] and levels(8, 8) == [8]
     with pytest.raises(ValueError):
         levels(4, 5)
+
+
+def test_document_ids_of_any_size(spark):
+    text = " ".join(f"w{i}" for i in range(12))
+    for ids in ([1, 2], [-(1 << 62), 1 << 62], [(1 << 40) + 1, (1 << 40) + 2], [5, (1 << 63) - 2], [None, None, 7]):
+        check(spark, [(i, text) for i in ids], 6, 3)
+
+
+@pytest.mark.parametrize("ids", [[1, 2], [-(1 << 62), 1 << 62], [(1 << 63) - 1], [5, (1 << 63) - 1], [0, (1 << 32) - 1], [0, 1 << 32]])
+def test_narrow_and_widened(ids):
+    import numpy as np
+
+    raw = b"abc" + narrow(np.array(ids)) + b"de"
+    values, end = widened(raw, len(ids), 3)
+    assert values.tolist() == ids and raw[end:] == b"de"

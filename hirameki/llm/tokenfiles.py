@@ -32,6 +32,9 @@ ORC = {
     "orc.compress": "LZ4",
 }
 
+#: Files whose offsets (16 bytes each) are broadcast; those of more are joined by a shuffle.
+MOST_FILES = 1_000_000
+
 
 def encoding(path: str, rule: str, end_id: int):
     """mapInArrow function: doc_id and text in order to the rows of a file."""
@@ -63,10 +66,11 @@ def write(docs: DataFrame, to: str, path: str, rule: str = "drop", text: str = "
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids. Filters on doc_id are pushed to the files."""
     rows = spark.read.schema(FILE_DDL).orc(path)
-    # a row per file, so the window and the broadcast are as long as the list of files
+    # a row per file, so the window is as long as the list of files, and so is the broadcast, whose length is checked
     sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    before = F.broadcast(before) if len(rows.inputFiles()) <= MOST_FILES else before
+    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def crc32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Stands for a null doc_id where documents are ordered: after every number.
 LAST = (1 << 63) - 1
 #: Bytes of text that one numpy pass takes, unless a single document is larger.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,14 +57,15 @@ def n_buckets(df: DataFrame, bucket_mb: int = 64) -> int:
 
 
 def ordered(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """row (all columns of df), ord (doc_id, null last), key (hash of doc_id and text), text (null: empty).
+    """row (all columns of df), ord (doc_id, null last), key (hash of doc_id and text; 32 bits where there is a doc_id), text (null: empty).
 
     (ord, key) names a row; rows that share both are equal in doc_id and text.
     """
+    hashed = F.xxhash64(F.col(doc_id), F.col(text))
     return df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("ord"),
-        F.xxhash64(F.col(doc_id), F.col(text)).alias("key"),
+        F.when(F.col(doc_id).isNull(), hashed).otherwise(hashed.bitwiseAND(F.lit((1 << 32) - 1))).alias("key"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
 

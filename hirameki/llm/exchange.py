@@ -61,7 +61,7 @@ def asked_rows(asked: np.ndarray, ords: np.ndarray, keys: np.ndarray, bucket: np
         for x in np.split(asked, at[1:]):
             docs, doc = np.unique(x["doc"], return_inverse=True)
             cols = (x["h"], x["g"], doc.astype("<u2" if len(docs) < 1 << 16 else "<u4"), x["pos"], x["more"])
-            data.append(b"".join([np.array([len(docs), len(x)], "<u4").tobytes(), narrow(ords[docs]), keys[docs].tobytes(), *(np.ascontiguousarray(c).tobytes() for c in cols)]))
+            data.append(b"".join([np.array([len(docs), len(x)], "<u4").tobytes(), narrow(ords[docs]), narrow(keys[docs]), *(np.ascontiguousarray(c).tobytes() for c in cols)]))
         none = pa.nulls(len(at), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), none, none, pa.array(data, pa.binary())], schema=ASKED)
 
@@ -82,11 +82,12 @@ def read_asked(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], tup
             raw = blob.as_buffer()
             docs, n = np.frombuffer(raw, "<u4", 2).tolist()
             ords, at = widened(raw, docs, 8)
+            keys, at = widened(raw, docs, at)
             columns = []
-            for kind, count in (("<i8", docs), ("<u8", n), ("<u4", n), ("<u2" if docs < 1 << 16 else "<u4", n), ("<u4", n), ("u1", n)):
+            for kind, count in (("<u8", n), ("<u4", n), ("<u2" if docs < 1 << 16 else "<u4", n), ("<u4", n), ("u1", n)):
                 columns.append(np.frombuffer(raw, kind, count, at))
                 at += columns[-1].nbytes
-            keys, h, g, doc, pos, more = columns
+            h, g, doc, pos, more = columns
             for to, x in zip(parts, (h, g, ords[doc], keys[doc], pos, more), strict=True):
                 to.append(x)
     kinds = ("<u8", "<u4", "<i8", "<i8", "<u4", "u1")
@@ -107,7 +108,7 @@ def answer_rows(found: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatc
         at_doc = np.flatnonzero(begins(mine["ord"], mine["key"]))
         counts = np.diff(np.append(at_doc, len(mine))).astype("<u4")
         docs = mine[at_doc]
-        data = b"".join([np.array([len(docs)], "<u4").tobytes(), docs["ord"].tobytes(), docs["key"].tobytes(), counts.tobytes(), mine["pos"].tobytes()])
+        data = b"".join([np.array([len(docs)], "<u4").tobytes(), narrow(docs["ord"]), narrow(docs["key"]), counts.tobytes(), mine["pos"].tobytes()])
         yield pa.RecordBatch.from_arrays([pa.array([to[lo]], pa.int32()), pa.array([data], pa.binary())], schema=ANSWERED)
 
 
@@ -118,10 +119,11 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blob in batch.column("data"):
             raw = blob.as_buffer()
             n = int(np.frombuffer(raw, "<u4", 1)[0])
-            counts = np.frombuffer(raw, "<u4", n, 4 + 16 * n)
+            ords, at = widened(raw, n, 4)
+            keys, at = widened(raw, n, at)
+            counts = np.frombuffer(raw, "<u4", n, at)
             x = np.zeros(int(counts.sum()), ANSWER)
-            x["ord"], x["key"] = np.repeat(np.frombuffer(raw, "<i8", n, 4), counts), np.repeat(np.frombuffer(raw, "<i8", n, 4 + 8 * n), counts)
-            x["pos"] = np.frombuffer(raw, "<u4", len(x), 4 + 20 * n)
+            x["ord"], x["key"], x["pos"] = np.repeat(ords, counts), np.repeat(keys, counts), np.frombuffer(raw, "<u4", len(x), at + 4 * n)
             found.append(x)
     if not found:
         return

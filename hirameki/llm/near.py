@@ -15,7 +15,9 @@ then all that still join different classes, the overlap of the bags themselves i
 
 The members of a larger bucket that hubs have not brought into its main class are then a query set: in blocks of
 queries against blocks of members, signatures are compared, and each query's closest members of other classes are
-candidates once more. That work is the query set times the bucket; what leaves a block is a pair or two for a query.
+candidates once more. Queries that have more such members ask again when those are verified, in the last round for
+all, until none of another class is left that could be a link. That work is the query set times the bucket; what leaves
+a block is a few pairs for a query, but all of them for groups of texts that are just too different to be links.
 
 Texts with the same words are one node from the start. Nulls, empty texts and texts without words link with nothing.
 A null doc_id comes after all numbers; repeated rows (same doc_id, same text) share a class, and one of them is kept.
@@ -264,8 +266,8 @@ def verifying(least: float):
 
 #: Members and queries of a crowded bucket that one task holds.
 BLOCK = 4096
-#: Closest members of other classes that a query gives from a block.
-CLOSEST = 5
+#: Closest members of other classes that a query gives from a block, by round; the last gives all (None).
+CLOSEST = (5, 50, None)
 
 
 def unpacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,20 +279,34 @@ def unpacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(bands), *(pa.array(np.repeat(batch.column(c).to_numpy(), each)) for c in ("ord", "key"))], ["band", "ord", "key"])
 
 
-def closest(least: float):
-    """mapInArrow function over (band, i, j) with queries first: pairs of each query with its closest members of other classes."""
+CLOSE_DDL = f"band long, {PAIRS_DDL}, more boolean"
 
-    def compared(q: dict, m: dict) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(q["cls"]), 64):
-            share = (np.count_nonzero(q["signs"][i : i + 64, None, :] == m["signs"][None, :, :], axis=2) / q["signs"].shape[1] - 1 / 256) / (1 - 1 / 256)
-            share[q["cls"][i : i + 64, None] == m["cls"][None, :]] = -1
-            for _ in range(min(CLOSEST, share.shape[1])):
-                j = share.argmax(axis=1)
-                best = share[np.arange(len(j)), j]
-                share[np.arange(len(j)), j] = -1
-                ok = np.flatnonzero(best >= least)
-                if len(ok):
-                    yield pa.RecordBatch.from_arrays([pa.array(q["ord"][i + ok]), pa.array(q["key"][i + ok]), pa.array(m["ord"][j[ok]]), pa.array(m["key"][j[ok]]), pa.array(best[ok])], ["a_ord", "a_key", "b_ord", "b_key", "share"])
+
+def closest(least: float, most: int | None):
+    """mapInArrow function over (band, i, j) with queries first: pairs of each query with members of other classes whose share of equal registers isn't below least.
+
+    A pair is given in the first band where it meets. A query gives its `most` closest from a block; more: whether it
+    has others there. If most is None, it gives all, and a pair of which both ask (also) is given by the first.
+    """
+
+    def compared(band: int, q: dict, m: dict) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(q["cls"]), 16):
+            share = (np.count_nonzero(q["signs"][i : i + 16, None, :] == m["signs"][None, :, :], axis=2) / q["signs"].shape[1] - 1 / 256) / (1 - 1 / 256)
+            a, b = np.nonzero((share >= least) & (q["cls"][i : i + 16, None] != m["cls"][None, :]))
+            shared = (q["bands"][i + a] == m["bands"][b]).argmax(axis=1)
+            new = q["bands"][i + a, shared] == band
+            if most is None:
+                new &= ~(m["also"][b] & ((m["ord"][b] < q["ord"][i + a]) | (m["ord"][b] == q["ord"][i + a]) & (m["key"][b] < q["key"][i + a])))
+            a, b = a[new], b[new]
+            order = np.lexsort((-share[a, b], a))
+            a, b = a[order], b[order]
+            more = np.zeros(len(a), bool)
+            if most is not None:
+                more = np.bincount(a)[a] > most if len(a) else more
+                near = np.arange(len(a)) - np.searchsorted(a, a) < most
+                a, b, more = a[near], b[near], more[near]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), band)), pa.array(q["ord"][i + a]), pa.array(q["key"][i + a]), pa.array(m["ord"][b]), pa.array(m["key"][b]), pa.array(more)], ["band", "a_ord", "a_key", "b_ord", "b_key", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, queries = None, []
@@ -298,7 +314,7 @@ def closest(least: float):
             if not batch.num_rows:
                 continue
             group = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("band", "i", "j")], axis=1)
-            x = {c: batch.column(c).to_numpy() for c in ("ord", "key", "cls")} | {"signs": np.frombuffer(b"".join(batch.column("signs").to_pylist()), np.uint8).reshape(batch.num_rows, -1)}
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "key", "cls", "also")} | {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), t).reshape(batch.num_rows, -1) for c, t in (("signs", np.uint8), ("bands", "<i8"))}
             asks = np.asarray(batch.column("asks"))
             at = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1) | (asks[1:] != asks[:-1])))
             for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(asks)], strict=True):
@@ -308,7 +324,8 @@ def closest(least: float):
                 if asks[lo]:
                     queries.append(mine)
                 elif queries:
-                    yield from compared({c: np.concatenate([q[c] for q in queries]) for c in mine}, mine)
+                    queries = [{c: np.concatenate([q[c] for q in queries]) for c in mine}]
+                    yield from compared(current[0], queries[0], mine)
 
     return run
 
@@ -361,22 +378,37 @@ def links(keyed: DataFrame, size: int, least: float, registers: int, band: int,
     removed(spark, at)
     label = components(found)
 
-    classes = label.select("node", F.xxhash64("label").alias("cls"))
-    placed = crowded.join(classes, "node", "left").withColumn("cls", F.coalesce("cls", F.xxhash64("node")))
+    placed = crowded.join(label.select("node", F.col("label").alias("cls")), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
     sizes = placed.groupBy("band", "cls").count()
     main = sizes.groupBy("band").agg(F.max(F.struct("count", "cls")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("band", F.col("m.cls").alias("main"))
-    several = placed.join(main, "band").join(signs, "node")
-    several, at = written(several.select("band", F.col("node.ord").alias("ord"), F.col("node.key").alias("key"), "cls", "signs", (F.col("cls") != F.col("main")).alias("asks"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    several = placed.join(main, "band").join(nodes.select("node", "signs", "bands"), "node")
+    several, at = written(several.select("band", "node", "cls", "main", "signs", "bands", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     made.append(at)
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node.key"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["band", "i", "j", "asks", "ord", "key", "cls", "signs"]
-    queries = several.where("asks").withColumn("i", own).withColumn("j", every).select(columns)
-    others = several.withColumn("asks", F.lit(False)).withColumn("j", own).withColumn("i", every).select(columns)
-    dealt = queries.union(others).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", F.col("asks").desc())
-    close = dealt.mapInArrow(closest(least - slack / 2), f"{PAIRS_DDL}, share double")
-    once = close.select(F.least(node("a_ord", "a_key"), node("b_ord", "b_key")).alias("a"), F.greatest(node("a_ord", "a_key"), node("b_ord", "b_key")).alias("b")).distinct()
-    label = components(found.union(verified(once)))
+    columns = ["band", "i", "j", "asks", "also", "node.ord", "node.key", F.xxhash64("cls").alias("cls"), "signs", "bands"]
+    asking, tried = several.withColumn("asks", F.col("cls") != F.col("main")), None
+    for most in CLOSEST:
+        asking = asking.withColumn("also", F.col("asks"))
+        queries = asking.where("asks").withColumn("i", own).withColumn("j", every).select(columns)
+        others = asking.withColumn("asks", F.lit(False)).withColumn("j", own).withColumn("i", every).select(columns)
+        dealt = queries.union(others).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", F.col("asks").desc())
+        close, at = written(dealt.mapInArrow(closest(least - slack / 2, most), CLOSE_DDL))
+        made.append(at)
+        once = close.select(F.least(node("a_ord", "a_key"), node("b_ord", "b_key")).alias("a"), F.greatest(node("a_ord", "a_key"), node("b_ord", "b_key")).alias("b")).distinct()
+        once, at = written(once if tried is None else once.join(tried, ["a", "b"], "left_anti"))
+        made.append(at)
+        found = found.union(verified(once))
+        label = components(found)
+        cut = close.where("more").select("band", node("a_ord", "a_key").alias("node")).distinct()
+        if cut.isEmpty():
+            break
+        tried = once if tried is None else tried.union(once)
+        # what is in the bucket's main class by now need not ask: members outside it do, or have given all their pairs
+        again = several.join(cut.select("band").distinct(), "band", "left_semi").drop("cls")
+        again = again.join(label.select("node", F.col("label").alias("cls")), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
+        again = again.join(label.select(F.col("node").alias("main"), F.col("label").alias("of_main")), "main", "left").join(cut.withColumn("cut", F.lit(True)), ["band", "node"], "left")
+        asking = again.withColumn("asks", F.col("cut").isNotNull() & (F.col("cls") != F.coalesce("of_main", "main")))
     return members, label, made
 
 

@@ -107,3 +107,28 @@ def test_a_large_group_makes_few_pairs():
 def test_components_of_chains(spark, n):
     links = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(100 + i, 100) for i in range(1, 5)], "a long, b long")
     assert {r["node"]: r["label"] for r in components(links).collect()} == {i: 0 for i in range(n + 1)} | {100 + i: 100 for i in range(5)}
+
+
+def family(n, planted, rnd, length=800, edits=10, same=2):
+    """Texts with ten edits of one base: no two of them are links, but those that share two of their edits. The first are planted pairs."""
+    base, slots = [f"w{i}" for i in range(length)], range(5, length - 5, 5)
+    taken, out = [], []
+    while len(out) < n:
+        of = taken[-1] if len(out) < 2 * planted and len(out) % 2 else {}
+        kept = dict(rnd.sample(sorted(of.items()), same)) if of else {}
+        mine = kept | {i: f"e{rnd.random()}" for i in rnd.sample([i for i in slots if i not in of], edits - len(kept))}
+        if all(len(mine.keys() & x.keys()) <= same for x in taken):
+            taken.append(mine)
+            out.append(" ".join(mine.get(i, w) for i, w in enumerate(base)))
+    return out
+
+
+def test_links_in_a_family_just_below_the_threshold(spark):
+    texts = family(150, 40, random.Random(7))
+    bags = [set(bag(t)) for t in texts]
+    like = {(i, j): len(bags[i] & bags[j]) / len(bags[i] | bags[j]) for i in range(150) for j in range(i)}
+    linked = {k for k, s in like.items() if s >= 0.8}
+    assert len(linked) == 40 and min(like.values()) > 0.75
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(df).collect()}
+    assert got == {i: i - 1 if i < 80 and i % 2 else i for i in range(150)}

@@ -393,7 +393,7 @@ def links(keyed: DataFrame, size: int, least: float, registers: int, band: int,
         queries = asking.where("asks").withColumn("i", own).withColumn("j", every).select(columns)
         others = asking.withColumn("asks", F.lit(False)).withColumn("j", own).withColumn("i", every).select(columns)
         dealt = queries.union(others).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", F.col("asks").desc())
-        close, at = written(dealt.mapInArrow(closest(least - slack / 2, most), CLOSE_DDL))
+        close, at = written(dealt.mapInArrow(closest(least - slack, most), CLOSE_DDL))
         made.append(at)
         once = close.select(F.least(node("a_ord", "a_key"), node("b_ord", "b_key")).alias("a"), F.greatest(node("a_ord", "a_key"), node("b_ord", "b_key")).alias("b")).distinct()
         once, at = written(once if tried is None else once.join(tried, ["a", "b"], "left_anti"))

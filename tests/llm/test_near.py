@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hirameki.llm import near
@@ -132,3 +133,14 @@ def test_links_in_a_family_just_below_the_threshold(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(df).collect()}
     assert got == {i: i - 1 if i < 80 and i % 2 else i for i in range(150)}
+
+
+def test_links_whose_signatures_agree_little(spark):
+    texts = family(60, 25, random.Random(1))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    h, n, d, _, _ = near.shingles(pa.array(texts), 5)
+    signs = near.bag_min_hash(h, n, d, 60, 32).astype(np.uint8)
+    shares = [((signs[i] == signs[i + 1]).mean() - 1 / 256) / (1 - 1 / 256) for i in range(0, 50, 2)]
+    assert sum(s < 0.7 for s in shares) == 3 and min(shares) > 0.6
+    got = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(df, registers=32, hubs=1, whole=2).collect()}
+    assert got == {i: i - 1 if i < 50 and i % 2 else i for i in range(60)}

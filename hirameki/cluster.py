@@ -8,10 +8,20 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch, and the session's own default that it takes the place of.
+BATCH, BATCH_DEFAULT = "4m", 64 << 20
+
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the session's Python workers, once: they need not have it installed."""
+    """Sends this package to the session's Python workers, once: they need not have it installed.
+
+    Batches for the workers get a bound in bytes, as rows with long texts would make them of many MB in both processes;
+    a session that has set a bound of its own keeps it.
+    """
     context = spark.sparkContext
+    bound = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_DEFAULT}b")
+    if bound in (f"{BATCH_DEFAULT}b", str(BATCH_DEFAULT), "64MB", "64m"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     if getattr(context, "_shipped_package", None) is None:
         top = Path(__file__).resolve().parent
         folder = tempfile.mkdtemp(prefix="package-")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begins, blocks, overlaid
+from .common import begins, blocks, overlaid, tidied
 from .encoders import Flat, Numbers, Pieces, gathered
 
 #: Stands for a pair that doesn't merge: after all ranks.
@@ -224,12 +224,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     between characters that aren't white space.
     """
     rows = _rows(docs, text, "text", docs.columns)
-    out = rows.mapInArrow(encoding(path, pattern), rows.select("row").schema.add("n_tokens", "long").add("ids", "binary"))
+    out = rows.mapInArrow(tidied(encoding(path, pattern)), rows.select("row").schema.add("n_tokens", "long").add("ids", "binary"))
     return overlaid(out, "row", docs.columns, {"n_tokens": F.col("n_tokens"), "ids": F.col("ids")})
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """encoded with decoded (binary: bytes need not be whole characters)."""
     rows = _rows(encoded, ids, "ids", encoded.columns)
-    out = rows.mapInArrow(decoding(path), rows.select("row").schema.add("decoded", "binary"))
+    out = rows.mapInArrow(tidied(decoding(path)), rows.select("row").schema.add("decoded", "binary"))
     return overlaid(out, "row", encoded.columns, {"decoded": F.col("decoded")})

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +37,75 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables that this session has written and not removed, with what it takes to remove them.
+_tables: dict[str, tuple] = {}
+_scopes: list[list[str]] = []
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """df, written once as Parquet in the shared folder and read again, and its path: cuts lineage, survives lost executors."""
+    """df, written once as Parquet in the shared folder and read again, and its path: cuts lineage, survives lost executors.
+
+    The table goes with removed(), at the end of the scratch() that it was made in, or when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _tables[path] = (at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def removed(spark: SparkSession, path: str) -> None:
+def removed(path: str) -> None:
     """Deletes a table that written() made."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _tables:
+        files, at = _tables.pop(path)
+        files.delete(at, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside go at its end: what is made of them has to be written outside, or before it in a scope around it."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            removed(path)
+
+
+def result(make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), written, and the tables that it needed removed: only the result's own table stays."""
+    with scratch():
+        out, path = written(make())
+        _scopes[-1].remove(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    return out
+
+
+@atexit.register
+def _sweep() -> None:
+    with suppress(Exception):  # the JVM may be gone
+        for path in list(_tables):
+            removed(path)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a mapInArrow function; a worker gives the memory of a task back when the task ends, as it waits for more."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(AttributeError):  # not in every C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
 
 
 def n_buckets(df: DataFrame, bucket_mb: int = 64) -> int:
@@ -145,6 +205,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Values whose powers are at hand.
+CHUNK = 1 << 16
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of base and of its inverse, CHUNK and one of each."""
+    if base not in _powers:
+        made = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            p = np.full(CHUNK + 1, x, np.uint64)
+            p[0] = 1
+            made.append(np.multiply.accumulate(p))
+        _powers[base] = tuple(made)
+    return _powers[base]
+
+
+def stretch_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of stretches that follow one another, a chunk at a time: memory doesn't grow with values or with a stretch."""
+    up, down = powers(base)
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        at = int(starts[i])
+        to = int(np.searchsorted(ends, at + CHUNK, side="right"))
+        if to <= i:  # longer than a chunk
+            total, end = 0, int(ends[i])
+            for k in range(at, end, CHUNK):
+                part = values[k : min(k + CHUNK, end)].astype(np.uint64) + np.uint64(1)
+                total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(base, k - at, 1 << 64)
+            out[i] = total % (1 << 64)
+            i += 1
+            continue
+        part = values[at : int(ends[to - 1])].astype(np.uint64)
+        part += np.uint64(1)
+        part *= up[: len(part)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, dtype=np.uint64, out=sums[1:])
+        a, b = starts[i:to] - at, ends[i:to] - at
+        out[i:to] = (sums[b] - sums[a]) * down[a]
+        i = to
+    return mixed(out + (ends - starts).astype(np.uint64))
+
+
 class Rolling:
     """Hashes of any stretches of a sequence of integers, from prefix sums of a polynomial modulo 2**64."""
 
@@ -167,8 +271,6 @@ class Rolling:
         return mixed((self.sums[length : length + n] - self.sums[:n]) * self.back[:n] + np.uint64(length))
 
 
-
-
 def begins(*sorted_keys: np.ndarray) -> np.ndarray:
     """Whether a row of sorted columns differs from the one before."""
     n = len(sorted_keys[0])

@@ -14,7 +14,6 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the smallest label next to a node, then the label of that label, so long chains shrink as well;
     every round's labels are a written table. Rows are as many as links and nodes, never pairs within a component.
     """
-    spark = links.sparkSession
     both, edges_at = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
     labels, at = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")))
     while True:
@@ -23,8 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         of_label = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         jumped = stepped.join(of_label, "label").select("node", F.least("label", "further").alias("label"), (F.least("label", "further") != F.col("old")).alias("changed"))
         after, after_at = written(jumped)
-        removed(spark, at)
+        removed(at)
         labels, at = after.select("node", "label"), after_at
         if after.where("changed").isEmpty():
-            removed(spark, edges_at)
+            removed(edges_at)
             return labels

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASES, begins, blocks, mixed, overlaid
+from .common import BASES, begins, blocks, mixed, overlaid, tidied
 
 SIZES = (3, 4)
 _letters: list[np.ndarray] = []
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
         drawn = drawn | ((F.col("lang") == name) & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, 4 * per_language / size)))))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 30)), F.xxhash64("text"), "text"))
     sample = rows.where(drawn).withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth")
-    counts = sample.mapInArrow(counting, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidied(counting), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     of_all = F.sum("n").over(Window.partitionBy("lang"))
     found = counts.withColumn("all", of_all).withColumn("nth", top).where(F.col("nth") <= most_grams).select("lang", "gram", (F.col("n") / F.col("all")).alias("share")).toArrow()
@@ -153,5 +153,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    out = rows.mapInArrow(run, rows.select("row").schema.add("lang_pred", "string").add("score", "double"))
+    out = rows.mapInArrow(tidied(run), rows.select("row").schema.add("lang_pred", "string").add("score", "double"))
     return overlaid(out, "row", docs.columns, {"lang_pred": F.col("lang_pred"), "score": F.col("score")})

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, IS_SPACE, Rolling, begins, blocks, byte_table, mixed, n_buckets, ordered, overlaid, spans, text_bytes, written
+from .common import BASES, IS_SPACE, Rolling, begins, blocks, byte_table, mixed, n_buckets, ordered, overlaid, result, spans, stretch_hashes, text_bytes, tidied, written
 from .exchange import ANSWER, ANSWERED_DDL, ASKED_DDL, GATHERED_DDL, QUESTION, answer_rows, asked_rows, gathered, known_rows, read_asked
 
 #: A position is twice the line's number, plus one where it says that the line goes on to the next level.
@@ -47,7 +47,7 @@ class Lines:
         places = np.flatnonzero(~IS_SPACE[data])
         self.start, self.end = places[dark[starts]], places[dark[ends] - 1] + 1
         self.doc, self.data = doc, data
-        self.h, self.g = (Rolling(data, b).of(self.start, self.end) for b in BASES)
+        self.h, self.g = (stretch_hashes(data, self.start, self.end, b) for b in BASES)
         lead = np.append(0, np.cumsum((data & 0xC0) != 0x80))
         self.first_char, self.end_char = lead[self.start], lead[self.end]  # in characters
         self.n_docs = len(offsets) - 1
@@ -209,18 +209,18 @@ def repeated(keyed: DataFrame, *by: str) -> DataFrame:
 def removed_lines(keyed: DataFrame, min_chars: int, bucket_mb: int) -> DataFrame:
     """keyed: ord, key, text. ord, key, gone: the numbers of lines that have an earlier line within the bound; only documents with some."""
     buckets = n_buckets(keyed, bucket_mb)
-    asked = keyed.mapInArrow(questions(min_chars, buckets), ASKED_DDL)
-    answered = asked.repartition(buckets, "bucket").mapInArrow(answers(buckets), ANSWERED_DDL)
-    found, _ = written(answered.repartition(buckets, "bucket").mapInArrow(gathered, GATHERED_DDL))
+    asked = keyed.mapInArrow(tidied(questions(min_chars, buckets)), ASKED_DDL)
+    answered = asked.repartition(buckets, "bucket").mapInArrow(tidied(answers(buckets)), ANSWERED_DDL)
+    found, _ = written(answered.repartition(buckets, "bucket").mapInArrow(tidied(gathered), GATHERED_DDL))
     # positions are unsigned 32-bit; the lowest bit of each tells whether its line goes on
-    on = found.mapInArrow(any_on, GATHERED_DDL)
-    lines, _ = written(keyed.join(on, ["ord", "key"]).mapInArrow(going_on, "ord long, key long, no long, id long, line string").dropDuplicates(["ord", "key", "no"]))
+    on = found.mapInArrow(tidied(any_on), GATHERED_DDL)
+    lines, _ = written(keyed.join(on, ["ord", "key"]).mapInArrow(tidied(going_on), "ord long, key long, no long, id long, line string").dropDuplicates(["ord", "key", "no"]))
     for stretches in (16, 64):
-        some = repeated(lines.select("id", "line").mapInArrow(stretching(stretches), "k long, id long"), "k").select("id").distinct()
+        some = repeated(lines.select("id", "line").mapInArrow(tidied(stretching(stretches)), "k long, id long"), "k").select("id").distinct()
         lines, _ = written(lines.join(some, "id", "left_semi"))
     place = F.struct("ord", "key", "no")
     names = lines.select("id", place.alias("at"), "line")
-    keys, _ = written(repeated(lines.select("id", "line").mapInArrow(variants, "k long, role int, id long").withColumn("kind", (F.col("role") > 0).cast("int")), "kind", "k").join(names.select("id", "at"), "id"))
+    keys, _ = written(repeated(lines.select("id", "line").mapInArrow(tidied(variants), "k long, role int, id long").withColumn("kind", (F.col("role") > 0).cast("int")), "kind", "k").join(names.select("id", "at"), "id"))
     tagged = keys.where(F.col("role") == TAGGED)
     same = tagged.groupBy("k").agg(F.min("at").alias("first"))
     pairs = tagged.join(same, "k").where("first < at").select("at", "first")
@@ -230,9 +230,9 @@ def removed_lines(keyed: DataFrame, min_chars: int, bucket_mb: int) -> DataFrame
     earliest = pairs.groupBy("at").agg(F.min("first").alias("first"))
     texts = names.select("at", "line")
     checked = earliest.join(texts, "at").join(texts.select(F.col("at").alias("first"), F.col("line").alias("first_line")), "first")
-    near = checked.select("at.ord", "at.key", "at.no", "line", "first_line").mapInArrow(verifying, "ord long, key long, no long")
+    near = checked.select("at.ord", "at.key", "at.no", "line", "first_line").mapInArrow(tidied(verifying), "ord long, key long, no long")
     near = near.groupBy("ord", "key").agg(F.collect_set("no").alias("near"))
-    return found.join(near, ["ord", "key"], "full").mapInArrow(all_gone, "ord long, key long, gone array<long>").where(F.size("gone") > 0)
+    return found.join(near, ["ord", "key"], "full").mapInArrow(tidied(all_gone), "ord long, key long, gone array<long>").where(F.size("gone") > 0)
 
 
 def any_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,7 @@ def n_lines(text) -> object:
 def find_duplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 20, bucket_mb: int = 64) -> DataFrame:
     """docs with n_lines (not blank), n_removed and removed (numbers of the lines that go, from 0, ascending); such columns are replaced."""
     rows = ordered(docs, text, doc_id).withColumn("n_lines", n_lines(F.col("text")))
-    gone = removed_lines(rows.select("ord", "key", "text"), min_chars, bucket_mb)
+    gone = result(lambda: removed_lines(rows.select("ord", "key", "text"), min_chars, bucket_mb))
     joined = rows.drop("text").join(gone, ["ord", "key"], "left")
     removed = F.coalesce("gone", F.array().cast("array<bigint>"))
     return overlaid(joined, "row", docs.columns, {"n_lines": F.col("n_lines"), "n_removed": F.size(removed).cast("long"), "removed": removed})
@@ -267,7 +267,7 @@ def find_duplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc
 def drop_duplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 20, bucket_mb: int = 64) -> DataFrame:
     """docs without the lines that go; all rows stay, if need be with an empty text."""
     rows = ordered(docs, text, doc_id)
-    gone = removed_lines(rows.select("ord", "key", "text"), min_chars, bucket_mb)
+    gone = result(lambda: removed_lines(rows.select("ord", "key", "text"), min_chars, bucket_mb))
     joined = rows.drop("text").join(gone, ["ord", "key"], "left")
     at = F.col(f"row.`{text}`")
     left = F.array_join(F.transform(F.filter(F.transform(F.split(at, "\n"), lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i"))), lambda s: ~F.array_contains("gone", s["i"])), lambda s: s["x"]), "\n")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASES, LAST, Rolling, begins, blocks, mixed, n_buckets, ordered, overlaid, removed, text_bytes, words, written
+from .common import BASES, LAST, Rolling, begins, blocks, mixed, n_buckets, ordered, overlaid, removed, result, stretch_hashes, text_bytes, tidied, words, written
 from .components import components
 
 #: Orders in which bands take their hubs; a band's key has the number of its order in its lowest bits.
@@ -46,7 +46,7 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     """Of all texts: shingle hashes, their counts, the text of each (in order); and two hashes of each text's words."""
     data, offsets = text_bytes(column)
     starts, ends, doc = words(data, offsets)
-    rolls = [Rolling(Rolling(data, b).of(starts, ends), b2) for b, b2 in zip(BASES, BASES[::-1], strict=True)]
+    rolls = [Rolling(stretch_hashes(data, starts, ends, b), b2) for b, b2 in zip(BASES, BASES[::-1], strict=True)]
     first = np.searchsorted(starts, offsets)
     n = max(0, len(doc) - size + 1)
     at = np.flatnonzero(doc[:n] == doc[size - 1 : size - 1 + n])
@@ -337,53 +337,45 @@ def node(ord_: str, key: str):
     return F.struct(F.col(ord_).alias("ord"), F.col(key).alias("key"))
 
 
-def links(keyed: DataFrame, size: int, least: float, registers: int, band: int, hubs: int, whole: int, slack: float) -> tuple[DataFrame, DataFrame, list[str]]:
-    """keyed: ord, key, text. Returns members (ord, key, node: the first row with the same words), verified links of nodes (a, b), and tables to remove."""
-    spark = keyed.sparkSession
-    signed, at = written(keyed.mapInArrow(signing(size, registers, band), SIGNED_DDL))
-    made = [at]
+def links(keyed: DataFrame, size: int, least: float, registers: int, band: int, hubs: int, whole: int, slack: float) -> tuple[DataFrame, DataFrame]:
+    """keyed: ord, key, text. Returns members (ord, key, node: the first row with the same words) and the classes of nodes that links name (node, label)."""
+    signed, _ = written(keyed.mapInArrow(tidied(signing(size, registers, band)), SIGNED_DDL))
     least_of = signed.groupBy("one", "two").agg(F.min(node("ord", "key")).alias("node"), F.first("bands").alias("bands"), F.first("signs").alias("signs"))
-    nodes, at = written(least_of)
-    made.append(at)
+    nodes, _ = written(least_of)
     members = signed.select("ord", "key", "one", "two").join(nodes.select("one", "two", "node"), ["one", "two"]).select("ord", "key", "node")
     buckets = n_buckets(nodes)
-    sent = nodes.select("node.ord", "node.key", "bands").mapInArrow(sending(hubs, whole, buckets), EXCHANGED_DDL)
-    paired = sent.repartition(buckets, "bucket").mapInArrow(pairing(hubs, whole), PAIRS_DDL).distinct()
+    sent = nodes.select("node.ord", "node.key", "bands").mapInArrow(tidied(sending(hubs, whole, buckets)), EXCHANGED_DDL)
+    paired = sent.repartition(buckets, "bucket").mapInArrow(tidied(pairing(hubs, whole)), PAIRS_DDL).distinct()
     pairs = paired.select(node("a_ord", "a_key").alias("a"), node("b_ord", "b_key").alias("b"))
     signs = nodes.select("node", "signs")
     with_signs = pairs.join(signs.select(F.col("node").alias("a"), F.col("signs").alias("a_signs")), "a").join(signs.select(F.col("node").alias("b"), F.col("signs").alias("b_signs")), "b")
-    open_, open_at = written(with_signs.select("a", "b", "a_signs", "b_signs").mapInArrow(agreeing(least - slack), f"a {NODE}, b {NODE}, share double"))
-    flat = nodes.select("node.ord", "node.key", "bands").mapInArrow(unpacking, "band long, ord long, key long")
+    open_, open_at = written(with_signs.select("a", "b", "a_signs", "b_signs").mapInArrow(tidied(agreeing(least - slack)), f"a {NODE}, b {NODE}, share double"))
+    flat = nodes.select("node.ord", "node.key", "bands").mapInArrow(tidied(unpacking), "band long, ord long, key long")
     large = flat.groupBy("band").count().where(F.col("count") > whole)
-    crowded, at = written(flat.join(large, "band").select("band", "count", node("ord", "key").alias("node")))
-    made.append(at)
+    crowded, _ = written(flat.join(large, "band").select("band", "count", node("ord", "key").alias("node")))
     named = open_.select(F.col("a").alias("node")).union(open_.select(F.col("b").alias("node"))).union(crowded.select("node")).distinct()
     texts = keyed.select(node("ord", "key").alias("node"), "text").join(named.hint("merge"), "node", "left_semi").dropDuplicates(["node"])  # named grows with the documents
-    bags, at = written(texts.mapInArrow(bagging(size), f"node {NODE}, bag binary"))
-    made.append(at)
+    bags, _ = written(texts.mapInArrow(tidied(bagging(size)), f"node {NODE}, bag binary"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         bagged = pairs.select("a", "b").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("a_bag")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("b_bag")), "b")
-        found, at = written(bagged.select("a", "b", "a_bag", "b_bag").mapInArrow(verifying(least), f"a {NODE}, b {NODE}, similarity double"))
-        made.append(at)
-        return found
+        return written(bagged.select("a", "b", "a_bag", "b_bag").mapInArrow(tidied(verifying(least)), f"a {NODE}, b {NODE}, similarity double"))[0]
 
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.col("share").desc(), "b"))
     ranked, at = written(open_.withColumn("turn", best))
-    removed(spark, open_at)
+    removed(open_at)
     found = verified(ranked.where(F.col("turn") <= FIRST))
     label = components(found)
     rest = ranked.where(F.col("turn") > FIRST).select("a", "b").join(label.select(F.col("node").alias("a"), F.col("label").alias("of_a")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("of_b")), "b", "left")
     found = found.union(verified(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))))
-    removed(spark, at)
+    removed(at)
     label = components(found)
 
     placed = crowded.join(label.select("node", F.col("label").alias("cls")), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
     sizes = placed.groupBy("band", "cls").count()
     main = sizes.groupBy("band").agg(F.max(F.struct("count", "cls")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("band", F.col("m.cls").alias("main"))
     several = placed.join(main, "band").join(nodes.select("node", "signs", "bands"), "node")
-    several, at = written(several.select("band", "node", "cls", "main", "signs", "bands", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
-    made.append(at)
+    several, _ = written(several.select("band", "node", "cls", "main", "signs", "bands", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("node.key"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     columns = ["band", "i", "j", "asks", "also", "node.ord", "node.key", F.xxhash64("cls").alias("cls"), "signs", "bands"]
@@ -393,11 +385,9 @@ def links(keyed: DataFrame, size: int, least: float, registers: int, band: int,
         queries = asking.where("asks").withColumn("i", own).withColumn("j", every).select(columns)
         others = asking.withColumn("asks", F.lit(False)).withColumn("j", own).withColumn("i", every).select(columns)
         dealt = queries.union(others).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", F.col("asks").desc())
-        close, at = written(dealt.mapInArrow(closest(least - slack, most), CLOSE_DDL))
-        made.append(at)
+        close, _ = written(dealt.mapInArrow(tidied(closest(least - slack, most)), CLOSE_DDL))
         once = close.select(F.least(node("a_ord", "a_key"), node("b_ord", "b_key")).alias("a"), F.greatest(node("a_ord", "a_key"), node("b_ord", "b_key")).alias("b")).distinct()
-        once, at = written(once if tried is None else once.join(tried, ["a", "b"], "left_anti"))
-        made.append(at)
+        once, _ = written(once if tried is None else once.join(tried, ["a", "b"], "left_anti"))
         found = found.union(verified(once))
         label = components(found)
         cut = close.where("more").select("band", node("a_ord", "a_key").alias("node")).distinct()
@@ -409,7 +399,7 @@ def links(keyed: DataFrame, size: int, least: float, registers: int, band: int,
         again = again.join(label.select("node", F.col("label").alias("cls")), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
         again = again.join(label.select(F.col("node").alias("main"), F.col("label").alias("of_main")), "main", "left").join(cut.withColumn("cut", F.lit(True)), ["band", "node"], "left")
         asking = again.withColumn("asks", F.col("cut").isNotNull() & (F.col("cls") != F.coalesce("of_main", "main")))
-    return members, label, made
+    return members, label
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, least: float = 0.8, registers: int = 128, band: int = 4, hubs: int = 3, whole: int = 9, slack: float = 0.2) -> DataFrame:
@@ -422,12 +412,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if registers % band:
         raise ValueError("band divides registers")
     rows = ordered(docs, text, doc_id)
-    members, label, _ = links(rows.select("ord", "key", "text"), size, least, registers, band, hubs, whole, slack)
-    classes = members.dropDuplicates(["ord", "key"]).join(label, "node", "left").select("ord", "key", F.coalesce("label", "node").alias("class"))
-    joined = rows.drop("text").join(classes, ["ord", "key"], "left")
-    first = F.row_number().over(Window.partitionBy("ord", "key").orderBy(F.lit(0))) == 1
+
+    def classes() -> DataFrame:
+        members, label = links(rows.select("ord", "key", "text"), size, least, registers, band, hubs, whole, slack)
+        of_row = members.groupBy("ord", "key").agg(F.first("node").alias("node"), F.count("*").alias("rows"))
+        return of_row.join(label, "node", "left").select("ord", "key", F.coalesce("label", "node").alias("class"), "rows")
+
+    joined = rows.drop("text").join(result(classes), ["ord", "key"], "left")
     alone = F.col("class").isNull()
-    kept = alone | ((F.col("class.ord") == F.col("ord")) & (F.col("class.key") == F.col("key")) & first)
+    leads = (F.col("class.ord") == F.col("ord")) & (F.col("class.key") == F.col("key"))
+    # rows that share doc_id and text are told apart only where a class begins with several: elsewhere a row is a key of its own
+    turn = F.when(leads & (F.col("rows") > 1), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
+    first = F.row_number().over(Window.partitionBy("ord", "key", "turn").orderBy(F.lit(0))) == 1
+    joined = joined.withColumn("turn", turn)
+    kept = alone | (leads & first)
     class_ord = F.when(alone, F.col("ord")).otherwise(F.col("class.ord"))
     out = joined.select("row", F.when(class_ord != LAST, class_ord).alias("class_id"), kept.alias("kept"))
     return overlaid(out, "row", docs.columns, {"class_id": F.col("class_id"), "kept": F.col("kept")})

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import blocks
+from .common import blocks, tidied
 from .encoders import ENCODED_BYTES, encoder
 
 PLACED_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
@@ -130,4 +130,4 @@ def pack(docs: DataFrame, path: str, rule: str = "gap", text: str = "text", doc_
     columns = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")]
     if loss_from:
         columns.append(F.col(loss_from).cast("long").alias("loss_from"))
-    return docs.select(*columns).mapInArrow(packing(path, rule, end_id, tokens, segments, loss or tokens, bool(loss_from)), PLACED_DDL)
+    return docs.select(*columns).mapInArrow(tidied(packing(path, rule, end_id, tokens, segments, loss or tokens, bool(loss_from))), PLACED_DDL)

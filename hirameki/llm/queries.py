@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hirameki.cluster import ship
 
 from . import bytebpe, embeddings, langid, linededup, near, packing, quality, substrings, tokencount, tokenfiles
-from .common import shared_dir
+from .common import shared_dir, tidied
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     tokenfiles.write(table(spark, sf_dir, "documents"), to, public_tokenizers.path("word_bpe_49k.json"))
-    return tokenfiles.read(spark, to).mapInArrow(tokenfiles.crc32, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokenfiles.read(spark, to).mapInArrow(tidied(tokenfiles.crc32), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

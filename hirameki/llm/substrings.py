@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Rolling, begins, blocks, n_buckets, ordered, overlaid, text_bytes, words
+from .common import BASES, Rolling, begins, blocks, n_buckets, ordered, overlaid, stretch_hashes, text_bytes, tidied, words
 from .exchange import ANSWER, ANSWERED_DDL, ASKED, ASKED_DDL, GATHERED_DDL, QUESTION, answer_rows, asked_rows, gathered, known_rows, read_asked
 
 #: Position that stands for the document as a whole.
@@ -47,7 +47,7 @@ class Block:
         data, offsets = text_bytes(column)
         self.starts, self.ends, self.doc = words(data, offsets)
         self.data, self.offsets = data, offsets
-        by_byte = [Rolling(data, b).of(self.starts, self.ends) for b in BASES]
+        by_byte = [stretch_hashes(data, self.starts, self.ends, b) for b in BASES]
         self.rolls = [Rolling(h, b) for h, b in zip(by_byte, BASES[::-1], strict=True)]
         self.first = np.searchsorted(self.starts, offsets)  # number of each document's first word
 
@@ -219,11 +219,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     buckets = n_buckets(docs, bucket_mb)
     for level in range(len(lengths)):
         asking = keyed if found is None else keyed.join(found, ["ord", "key"])
-        asked = asking.mapInArrow(questions(lengths, level, buckets), ASKED_DDL)
-        answered = asked.repartition(buckets, "bucket").mapInArrow(answers(level == len(lengths) - 1, buckets), ANSWERED_DDL)
-        found = answered.repartition(buckets, "bucket").mapInArrow(gathered, GATHERED_DDL)
+        asked = asking.mapInArrow(tidied(questions(lengths, level, buckets)), ASKED_DDL)
+        answered = asked.repartition(buckets, "bucket").mapInArrow(tidied(answers(level == len(lengths) - 1, buckets)), ANSWERED_DDL)
+        found = answered.repartition(buckets, "bucket").mapInArrow(tidied(gathered), GATHERED_DDL)
     joined = rows.drop("text").join(found, ["ord", "key"], "left").select("row", "answers")
     schema = joined.select("row").schema.add("kept", "string").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
-    out = joined.mapInArrow(kept_rows(window, docs.columns.index(text)), schema)
+    out = joined.mapInArrow(tidied(kept_rows(window, docs.columns.index(text))), schema)
     new = {text: F.when(F.col(f"row.`{text}`").isNotNull(), F.col("kept")), "n_words": F.col("n_words"), "n_removed": F.col("n_removed"), "kept_sha256": F.col("kept_sha256")}
     return overlaid(out, "row", docs.columns, new)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, tidied
 
 SIGN = "▁"
 
@@ -103,6 +103,6 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", chunk: int = 32
     from .common import overlaid
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    counted = rows.mapInArrow(counting(path, chunk, overlap), rows.select("row").schema.add("n_tokens", "long"))
+    counted = rows.mapInArrow(tidied(counting(path, chunk, overlap)), rows.select("row").schema.add("n_tokens", "long"))
     n_bytes = F.coalesce(F.octet_length(f"row.`{text}`"), F.lit(0)).cast("long")
     return overlaid(counted, "row", docs.columns, {"n_bytes": n_bytes, "n_tokens": F.col("n_tokens"), "over_limit": F.col("n_tokens") > limit})

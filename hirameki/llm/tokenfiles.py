@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, n_buckets
+from .common import blocks, n_buckets, tidied
 from .encoders import ENCODED_BYTES, encoder
 
 FILE_DDL = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -60,7 +60,7 @@ def write(docs: DataFrame, to: str, path: str, rule: str = "drop", text: str = "
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     dealt = rows.repartitionByRange(n_buckets(docs, file_mb), order[0]).sortWithinPartitions(*order)
-    dealt.mapInArrow(encoding(path, rule, end_id), FILE_DDL).write.options(**ORC).orc(to)
+    dealt.mapInArrow(tidied(encoding(path, rule, end_id)), FILE_DDL).write.options(**ORC).orc(to)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -69,5 +69,60 @@ def test_empty_table(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_tables_for():
-    assert embeddings.tables_for(12, 0.9, 0.98) == 24
+def test_common_offset(spark):
+    """Vectors that all lie in one direction: bits stay balanced, so few pairs meet, and recall holds."""
+    rnd = np.random.default_rng(5)
+    x = vectors(4500, 64, rnd, 0.25, copies=False)[:20_000].astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    offset = rnd.normal(size=64)
+    x = (x + offset / np.linalg.norm(offset) * np.sqrt(0.7 / 0.3)).astype(np.float32)
+    y = embeddings.normal(x)
+    assert 0.65 < (y[:2000] @ y[-2000:].T).mean() < 0.75
+    hit = y @ y.T >= 0.9
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(df).collect()}
+    n = hit.sum(axis=1)
+    assert all(got[i] <= n[i] for i in got) and sum(got.values()) >= 0.95 * n.sum() > 0
+    coder = embeddings.planned(y, len(y), 0.9, 0.98, None)
+    bits = coder.bits(y)
+    assert (np.abs(bits.mean(axis=0) - 0.5) < 0.12).all()
+    sizes = [np.unique(coder.keys(bits, t), return_counts=True)[1] for t in range(len(coder.tables))]
+    code = embeddings.packed(bits)
+    some = rnd.integers(0, len(y), (200_000, 2))
+    apart = np.bitwise_count(code[some[:, 0]] ^ code[some[:, 1]]).sum(axis=1)
+    met = sum(float((s.astype(float) ** 2).sum()) for s in sizes) / len(y) ** 2  # pairs of codes, by table
+    assert met * (apart <= coder.apart).mean() < 0.05 and met < 0.5
+
+
+def test_group_that_holds_a_third(spark):
+    rnd = np.random.default_rng(8)
+    x = np.concatenate([rnd.normal(size=64) + rnd.normal(size=(1500, 64)) * 0.2, vectors(700, 64, rnd, 0.2, copies=False)[:3000]]).astype(np.float32)
+    _, n, _ = brute(range(len(x)), x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(df).collect()}
+    assert all(got[i] <= n[i] for i in got) and sum(got[i] for i in range(1500)) >= 0.98 * n[:1500].sum() and sum(got.values()) >= 0.98 * n.sum()
+
+
+def test_lengths_are_compared_apart(spark):
+    rnd = np.random.default_rng(6)
+    rows, want = [], {}
+    for size, n in ((64, 60), (16, 12), (3, 4)):
+        x = vectors(n, size, rnd, 0.1, copies=False)
+        ids = [len(rows) + i for i in range(len(x))]
+        _, links, label = brute(ids, x)
+        want |= {i: (a, b) for i, a, b in zip(ids, links.tolist(), label.tolist(), strict=True)}
+        rows += [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), recall=0.999).collect()}
+    assert got == want
+
+
+def test_tables_bring_the_recall_asked_for():
+    x = embeddings.normal(np.random.default_rng(7).normal(size=(3000, 64)))
+    coder = embeddings.planned(x, 100_000, 0.9, 0.98, None)
+    for a, b in embeddings.pairs_at(x[::-1], 0.9):
+        assert embeddings.recall_of(coder.bits(a) != coder.bits(b), coder.tables)[-1] > 0.96
+    bits = coder.bits(x)
+    first = embeddings.first_met(coder, embeddings.packed(bits[:500]), embeddings.packed(bits[500:1000]), 5)
+    slow = [i for i in range(500) if all((bits[i, t] != bits[500 + i, t]).any() for t in coder.tables[:5])]
+    assert first.tolist() == slow

@@ -13,11 +13,11 @@ the others, so the pairs don't grow with the square of a group. In buckets of up
 candidates. A pair whose signatures agree far too little is dropped; of the rest, first the best few of each document,
 then all that still join different classes, the overlap of the bags themselves is computed.
 
-The members of a larger bucket that hubs have not brought into its main class are then a query set: in blocks of
-queries against blocks of members, signatures are compared, and each query's closest members of other classes are
-candidates once more. Queries that have more such members ask again when those are verified, in the last round for
-all, until none of another class is left that could be a link. That work is the query set times the bucket; what leaves
-a block is a few pairs for a query, but all of them for groups of texts that are just too different to be links.
+The members of a larger bucket that hubs have not brought into its main class are then a query set: in blocks, each
+query's bag is met with the bags of all members of the buckets that it is in. A block has an index from shingle to its
+queries, so a member's overlaps with all of them come out of one pass over its shingles; those that are in one class
+by then are left out. No pairs leave a block, only the links that join classes, so what is written grows with the
+members, and nothing is dropped untested. The work is the query set times the bucket.
 
 Texts with the same words are one node from the start. Nulls, empty texts and texts without words link with nothing.
 A null doc_id comes after all numbers; repeated rows (same doc_id, same text) share a class, and one of them is kept.
@@ -26,6 +26,7 @@ A null doc_id comes after all numbers; repeated rows (same doc_id, same text) sh
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -264,10 +265,8 @@ def verifying(least: float):
     return run
 
 
-#: Members and queries of a crowded bucket that one task holds.
-BLOCK = 4096
-#: Closest members of other classes that a query gives from a block, by round; the last gives all (None).
-CLOSEST = (5, 50, None)
+#: Bytes of bags of the queries that one task holds, and members that it meets them with.
+QUERY_BYTES, BLOCK = 8 << 20, 2048
 
 
 def unpacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,53 +278,84 @@ def unpacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(bands), *(pa.array(np.repeat(batch.column(c).to_numpy(), each)) for c in ("ord", "key"))], ["band", "ord", "key"])
 
 
-CLOSE_DDL = f"band long, {PAIRS_DDL}, more boolean"
-
-
-def closest(least: float, most: int | None):
-    """mapInArrow function over (band, i, j) with queries first: pairs of each query with members of other classes whose share of equal registers isn't below least.
-
-    A pair is given in the first band where it meets. A query gives its `most` closest from a block; more: whether it
-    has others there. If most is None, it gives all, and a pair of which both ask (also) is given by the first.
-    """
-
-    def compared(band: int, q: dict, m: dict) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(q["cls"]), 16):
-            share = (np.count_nonzero(q["signs"][i : i + 16, None, :] == m["signs"][None, :, :], axis=2) / q["signs"].shape[1] - 1 / 256) / (1 - 1 / 256)
-            a, b = np.nonzero((share >= least) & (q["cls"][i : i + 16, None] != m["cls"][None, :]))
-            shared = (q["bands"][i + a] == m["bands"][b]).argmax(axis=1)
-            new = q["bands"][i + a, shared] == band
-            if most is None:
-                new &= ~(m["also"][b] & ((m["ord"][b] < q["ord"][i + a]) | (m["ord"][b] == q["ord"][i + a]) & (m["key"][b] < q["key"][i + a])))
-            a, b = a[new], b[new]
-            order = np.lexsort((-share[a, b], a))
-            a, b = a[order], b[order]
-            more = np.zeros(len(a), bool)
-            if most is not None:
-                more = np.bincount(a)[a] > most if len(a) else more
-                near = np.arange(len(a)) - np.searchsorted(a, a) < most
-                a, b, more = a[near], b[near], more[near]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), band)), pa.array(q["ord"][i + a]), pa.array(q["key"][i + a]), pa.array(m["ord"][b]), pa.array(m["key"][b]), pa.array(more)], ["band", "a_ord", "a_key", "b_ord", "b_key", "more"])
+class Index:
+    """Bags of a block of queries by shingle, and which classes of them are joined by now."""
+
+    def __init__(self, bags: list[bytes]):
+        parts = [np.frombuffer(x, "<u8").reshape(2, -1) for x in bags]
+        owner = np.repeat(np.arange(len(parts)), [p.shape[1] for p in parts])
+        h, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        self.total = np.bincount(owner, n, len(parts)).astype(np.int64)
+        order = np.argsort(h, kind="stable")
+        self.owner, self.n, h = owner[order].astype(np.int32), n[order].astype(np.int64), h[order]
+        self.at = np.append(np.flatnonzero(begins(h)), len(h))
+        self.h = h[self.at[:-1]]
+
+    def overlaps(self, bag: bytes) -> np.ndarray:
+        """Weighted Jaccard similarity of a bag with each query's."""
+        h, n = np.frombuffer(bag, "<u8").reshape(2, -1)
+        place = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        some = self.h[place] == h
+        place, n = place[some], n[some].astype(np.int64)
+        lengths = self.at[place + 1] - self.at[place]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.at[place] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+        shared = np.bincount(self.owner[at], np.minimum(self.n[at], np.repeat(n, lengths)), len(self.total))
+        return shared / (self.total + int(np.frombuffer(bag, "<u8").reshape(2, -1)[1].sum()) - shared)
+
+
+class Joined:
+    """Classes, and which of them are one (union by root, paths halved)."""
+
+    def __init__(self):
+        self.above: dict = {}
+
+    def root(self, x):
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = x = self.above.get(up, up)
+        return x
+
+    def join(self, x, y) -> None:
+        self.above[self.root(x)] = self.root(y)
+
+
+LINKED_DDL = "a_ord long, a_key long, b_ord long, b_key long"
+
+
+def linking(least: float):
+    """mapInArrow function over blocks (home, i, j), queries first: links that join classes, between queries and members that pass by."""
+
+    def met(queries: list[dict], members: Iterator[dict]) -> Iterator[tuple]:
+        index, joined = Index([q["bag"] for q in queries]), Joined()
+        classes = [(q["cls_ord"], q["cls_key"]) for q in queries]
+        place = {(q["ord"], q["key"]): k for k, q in enumerate(queries)}
+        roots, stale = classes, True
+        for m in members:
+            mine = joined.root((m["cls_ord"], m["cls_key"]))
+            if stale:
+                roots, stale = [joined.root(c) for c in classes], False
+            before = place.get((m["ord"], m["key"]), len(queries))  # two queries of the block meet once
+            if all(r == mine for r in roots[:before]):
+                continue
+            near = np.flatnonzero(index.overlaps(m["bag"])[:before] >= least)
+            for k in near.tolist():
+                if joined.root(classes[k]) != joined.root(mine):
+                    joined.join(classes[k], mine)
+                    stale = True
+                    yield m["ord"], m["key"], queries[k]["ord"], queries[k]["key"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for small in blocks([batch], "bag"):
+                yield from small.to_pylist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, queries = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("band", "i", "j")], axis=1)
-            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "key", "cls", "also")} | {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), t).reshape(batch.num_rows, -1) for c, t in (("signs", np.uint8), ("bands", "<i8"))}
-            asks = np.asarray(batch.column("asks"))
-            at = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1) | (asks[1:] != asks[:-1])))
-            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(asks)], strict=True):
-                if tuple(group[lo].tolist()) != current:
-                    current, queries = tuple(group[lo].tolist()), []
-                mine = {c: v[lo:hi] for c, v in x.items()}
-                if asks[lo]:
-                    queries.append(mine)
-                elif queries:
-                    queries = [{c: np.concatenate([q[c] for q in queries]) for c in mine}]
-                    yield from compared(current[0], queries[0], mine)
+        for _, group in groupby(rows(batches), key=lambda r: (r["home"], r["i"], r["j"])):
+            queries: list[dict] = []
+            first = next((r for r in group if not r["asks"] or queries.append(r)), None)
+            if first is not None and queries:
+                found = list(met(queries, chain([first], group)))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], ["a_ord", "a_key", "b_ord", "b_key"])
 
     return run
 
@@ -351,8 +381,8 @@ def links(keyed: DataFrame, size: int, least: float, registers: int, band: int,
     with_signs = pairs.join(signs.select(F.col("node").alias("a"), F.col("signs").alias("a_signs")), "a").join(signs.select(F.col("node").alias("b"), F.col("signs").alias("b_signs")), "b")
     open_, open_at = written(with_signs.select("a", "b", "a_signs", "b_signs").mapInArrow(tidied(agreeing(least - slack)), f"a {NODE}, b {NODE}, share double"))
     flat = nodes.select("node.ord", "node.key", "bands").mapInArrow(tidied(unpacking), "band long, ord long, key long")
-    large = flat.groupBy("band").count().where(F.col("count") > whole)
-    crowded, _ = written(flat.join(large, "band").select("band", "count", node("ord", "key").alias("node")))
+    large, _ = written(flat.groupBy("band").count().where(F.col("count") > whole).select("band"))  # written, so that its size is known where it is joined
+    crowded, _ = written(flat.join(large, "band", "left_semi").select("band", node("ord", "key").alias("node")))
     named = open_.select(F.col("a").alias("node")).union(open_.select(F.col("b").alias("node"))).union(crowded.select("node")).distinct()
     texts = keyed.select(node("ord", "key").alias("node"), "text").join(named.hint("merge"), "node", "left_semi").dropDuplicates(["node"])  # named grows with the documents
     bags, _ = written(texts.mapInArrow(tidied(bagging(size)), f"node {NODE}, bag binary"))
@@ -373,33 +403,27 @@ def links(keyed: DataFrame, size: int, least: float, registers: int, band: int,
 
     placed = crowded.join(label.select("node", F.col("label").alias("cls")), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
     sizes = placed.groupBy("band", "cls").count()
-    main = sizes.groupBy("band").agg(F.max(F.struct("count", "cls")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("band", F.col("m.cls").alias("main"))
-    several = placed.join(main, "band").join(nodes.select("node", "signs", "bands"), "node")
-    several, _ = written(several.select("band", "node", "cls", "main", "signs", "bands", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
-    own = F.pmod(F.xxhash64("node.key"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["band", "i", "j", "asks", "also", "node.ord", "node.key", F.xxhash64("cls").alias("cls"), "signs", "bands"]
-    asking, tried = several.withColumn("asks", F.col("cls") != F.col("main")), None
-    for most in CLOSEST:
-        asking = asking.withColumn("also", F.col("asks"))
-        queries = asking.where("asks").withColumn("i", own).withColumn("j", every).select(columns)
-        others = asking.withColumn("asks", F.lit(False)).withColumn("j", own).withColumn("i", every).select(columns)
-        dealt = queries.union(others).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", F.col("asks").desc())
-        close, _ = written(dealt.mapInArrow(tidied(closest(least - slack, most)), CLOSE_DDL))
-        once = close.select(F.least(node("a_ord", "a_key"), node("b_ord", "b_key")).alias("a"), F.greatest(node("a_ord", "a_key"), node("b_ord", "b_key")).alias("b")).distinct()
-        once, _ = written(once if tried is None else once.join(tried, ["a", "b"], "left_anti"))
-        found = found.union(verified(once))
-        label = components(found)
-        cut = close.where("more").select("band", node("a_ord", "a_key").alias("node")).distinct()
-        if cut.isEmpty():
-            break
-        tried = once if tried is None else tried.union(once)
-        # what is in the bucket's main class by now need not ask: members outside it do, or have given all their pairs
-        again = several.join(cut.select("band").distinct(), "band", "left_semi").drop("cls")
-        again = again.join(label.select("node", F.col("label").alias("cls")), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
-        again = again.join(label.select(F.col("node").alias("main"), F.col("label").alias("of_main")), "main", "left").join(cut.withColumn("cut", F.lit(True)), ["band", "node"], "left")
-        asking = again.withColumn("asks", F.col("cut").isNotNull() & (F.col("cls") != F.coalesce("of_main", "main")))
-    return members, label
+    main = sizes.groupBy("band").agg(F.max(F.struct("count", "cls")).alias("m"), F.count("*").alias("classes"), F.sum("count").alias("count")).where("classes > 1").select("band", "count", F.col("m.cls").alias("main"))
+    several, _ = written(placed.join(main, "band").select("band", "node", "cls", "count", (F.col("cls") != F.col("main")).alias("asks")))
+    # a query belongs to a block of one bucket, and meets the members of all of its buckets there; of its buckets, and those
+    # of the queries that share one with it, the largest, so that members of many buckets go to few blocks
+    queried = several.where("asks").select("node", "cls", "band", "count")
+    largest = F.max(F.struct("count", "band"))
+    own, _ = written(queried.join(queried.groupBy("node").agg(largest.alias("own")), "node"))
+    of_band = own.groupBy("band").agg(F.max("own").alias("near"))
+    homes, _ = written(own.join(of_band, "band").groupBy("node", "cls").agg(F.max("near")["band"].alias("home")).join(bags, "node"))
+    parts = homes.groupBy("home").agg(F.ceil(F.sum(F.length("bag")) / QUERY_BYTES).cast("int").alias("parts"))
+    queries, _ = written(homes.select("node", "cls", "home").join(parts, "home").select("node", "cls", "home", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i")))
+    asked = several.where("asks").select("band", "node").join(queries.select("node", "home", "i"), "node").select("band", "home", "i").distinct()
+    passing, _ = written(several.select("band", "node", "cls").join(asked, "band").select("home", "i", "node", "cls").distinct())
+    dealt = passing.groupBy("home", "i").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("times"))
+    columns = ["home", "i", "j", "asks", "node.ord", "node.key", F.col("cls.ord").alias("cls_ord"), F.col("cls.key").alias("cls_key"), "bag"]
+    asking = queries.join(dealt, ["home", "i"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).withColumn("asks", F.lit(True))
+    others = passing.join(dealt, ["home", "i"]).withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), F.col("times")).cast("int")).withColumn("asks", F.lit(False))
+    together = asking.join(bags, "node").select(columns).union(others.join(bags, "node").select(columns))
+    together = together.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j", F.col("asks").desc(), "ord", "key")
+    more, _ = written(together.mapInArrow(tidied(linking(least)), LINKED_DDL))
+    return members, components(found.select("a", "b").union(more.select(node("a_ord", "a_key"), node("b_ord", "b_key"))))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, least: float = 0.8, registers: int = 128, band: int = 4, hubs: int = 3, whole: int = 9, slack: float = 0.2) -> DataFrame:
@@ -418,14 +442,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         of_row = members.groupBy("ord", "key").agg(F.first("node").alias("node"), F.count("*").alias("rows"))
         return of_row.join(label, "node", "left").select("ord", "key", F.coalesce("label", "node").alias("class"), "rows")
 
-    joined = rows.drop("text").join(result(classes), ["ord", "key"], "left")
+    of_row = result(classes)
+    joined = rows.drop("text").join(of_row, ["ord", "key"], "left")
     alone = F.col("class").isNull()
     leads = (F.col("class.ord") == F.col("ord")) & (F.col("class.key") == F.col("key"))
-    # rows that share doc_id and text are told apart only where a class begins with several: elsewhere a row is a key of its own
-    turn = F.when(leads & (F.col("rows") > 1), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
-    first = F.row_number().over(Window.partitionBy("ord", "key", "turn").orderBy(F.lit(0))) == 1
-    joined = joined.withColumn("turn", turn)
-    kept = alone | (leads & first)
+    kept = alone | leads
+    if not of_row.where(leads & (F.col("rows") > 1)).isEmpty():  # of equal rows one is kept: the first of a part of them, then of the parts
+        one = F.monotonically_increasing_id()
+        turn = F.when(leads & (F.col("rows") > 1), F.pmod(one, F.lit(1024))).otherwise(one + 1024)
+        joined = joined.withColumn("turn", turn).repartition("ord", "key", "turn")
+        joined = joined.withColumn("turn", F.when((F.col("turn") < 1024) & (F.row_number().over(Window.partitionBy("ord", "key", "turn").orderBy("turn")) == 1), F.lit(0)).otherwise(1 + F.monotonically_increasing_id()))
+        joined = joined.repartition("ord", "key", "turn").withColumn("first", (F.col("turn") == 0) & (F.row_number().over(Window.partitionBy("ord", "key", "turn").orderBy("turn")) == 1))
+        kept = alone | leads & ((F.col("rows") == 1) | F.col("first"))
     class_ord = F.when(alone, F.col("ord")).otherwise(F.col("class.ord"))
     out = joined.select("row", F.when(class_ord != LAST, class_ord).alias("class_id"), kept.alias("kept"))
     return overlaid(out, "row", docs.columns, {"class_id": F.col("class_id"), "kept": F.col("kept")})

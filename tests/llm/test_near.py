@@ -80,6 +80,24 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert near.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_many_equal_rows_without_an_id(spark):
+    text = "these are the words of a text that many rows without any id share"
+    df = spark.createDataFrame([(None, text)] * 300 + [(4, "a text of its own that stands apart from all")] * 3, "doc_id long, text string").repartition(5)
+    got = near.near_duplicates(df).collect()
+    assert [sum(r["kept"] for r in got if r["doc_id"] == d) for d in (None, 4)] == [1, 1] and len(got) == 303
+
+
+def test_index_gives_all_overlaps():
+    rnd = random.Random(3)
+    bags = []
+    for _ in range(30):
+        x = Counter({rnd.randrange(40): rnd.randrange(1, 4) for _ in range(20)})
+        bags.append(x)
+    raw = [np.concatenate([np.array(sorted(x), "<u8"), np.array([x[k] for k in sorted(x)], "<u8")]).tobytes() for x in bags]
+    got = near.Index(raw[:20]).overlaps(raw[25])
+    assert np.allclose(got, [similarity(x, bags[25]) for x in bags[:20]]) and got.tolist() == [near.overlap(x, raw[25]) for x in raw[:20]]
+
+
 def test_signatures_are_unbiased():
     rnd = np.random.default_rng(0)
     errors = []
@@ -124,7 +142,10 @@ def family(n, planted, rnd, length=800, edits=10, same=2):
     return out
 
 
-def test_links_in_a_family_just_below_the_threshold(spark):
+@pytest.mark.parametrize("query_bytes, block", [(8 << 20, 2048), (100_000, 20)])
+def test_links_in_a_family_just_below_the_threshold(spark, monkeypatch, query_bytes, block):
+    monkeypatch.setattr(near, "QUERY_BYTES", query_bytes)
+    monkeypatch.setattr(near, "BLOCK", block)
     texts = family(150, 40, random.Random(7))
     bags = [set(bag(t)) for t in texts]
     like = {(i, j): len(bags[i] & bags[j]) / len(bags[i] | bags[j]) for i in range(150) for j in range(i)}

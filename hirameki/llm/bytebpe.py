@@ -73,13 +73,29 @@ class Ranks(Vocabulary):
         return np.where(self.keys[at] == key, self.merged[at], NONE)
 
     def by_definition(self, word: bytes) -> list[int]:
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best, at = min((self.rank.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == NONE:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.rank[p] for p in parts]
+        """The lowest rank first, the leftmost on ties: a heap of pairs, and the neighbours of each part that is left."""
+        parts: list = [word[i : i + 1] for i in range(len(word))]
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap = [(rank, i, 2) for i in range(len(parts) - 1) if (rank := self.rank.get(parts[i] + parts[i + 1])) is not None]
+        heapq.heapify(heap)
+
+        def enter(i: int) -> None:
+            j = after[i]
+            if j < len(parts) and (rank := self.rank.get(parts[i] + parts[j])) is not None:
+                heapq.heappush(heap, (rank, i, len(parts[i]) + len(parts[j])))
+
+        while heap:
+            rank, i, length = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= len(parts) or len(parts[i]) + len(parts[j]) != length or self.rank.get(parts[i] + parts[j]) != rank:
+                continue  # of a part that has changed since
+            parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            enter(i)
+            if before[i] >= 0:
+                enter(before[i])
+        return [self.rank[p] for p in parts if p is not None]
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and how many each has. No word is empty."""

@@ -101,11 +101,19 @@ class PieceEncoder:
             raise ValueError("rule is gap or drop")
         self.library, self.rule = Tokenizer.from_file(path), rule
         self.space = " " if rule == "gap" else ""
+        self.marks: dict[str, np.ndarray] = {}
         names = self.library.get_vocab()
         self.edge = np.zeros(max(names.values()) + 1, bool)  # ids that begin a part ("gap": by its space) or end it ("drop")
         self.line_break = self.direct(["a\nb"])[0][1]
         self.edge[[i for name, i in names.items() if (name.startswith("\u0120") if rule == "gap" else name.endswith("</w>"))]] = True
 
+    def holding(self, mark: str) -> np.ndarray:
+        """By id, whether its text holds the mark."""
+        if mark not in self.marks:
+            n = self.library.get_vocab_size()
+            self.marks[mark] = np.array([mark in t for t in self.library.decode_batch([[i] for i in range(n)], skip_special_tokens=False)], bool)
+        return self.marks[mark]
+
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 

@@ -104,20 +104,21 @@ def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 2000, most_grams: int = 20_000, least_share: float = 0.2, bits: int = 20, hashes: int = 3) -> Model:
-    """Learns from docs' rows that have a label: per_language rows of each language at most, those of the smallest text hash.
+    """Learns from docs' rows that have a label: per_language distinct texts of each language at most, those of the smallest hash.
 
     A language gets its most_grams most frequent n-grams, without those whose share of its n-grams is under least_share
     of their largest share in any language. The filter has 2**bits places. 64 languages at most.
     """
-    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(65).collect()}  # a row per language
+    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = {r["lang"]: r["texts"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).limit(65).collect()}  # a row per language
     if len(sizes) > 64:
         raise ValueError("64 languages at most")
-    drawn = F.lit(False)  # about four times per_language, so that few texts are shuffled
+    drawn = F.lit(False)  # about four times per_language texts, so that few are shuffled; a text's copies are one row
     for name, size in sizes.items():
-        drawn = drawn | ((F.col("lang") == name) & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, 4 * per_language / size)))))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 30)), F.xxhash64("text"), "text"))
-    sample = rows.where(drawn).withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth")
+        drawn = drawn | ((F.col("lang") == name) & (F.pmod("h", F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, 4 * per_language / max(size, 1))))))
+    texts = rows.where(drawn).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    sample = texts.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "text")
     counts = sample.mapInArrow(tidied(counting), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     of_all = F.sum("n").over(Window.partitionBy("lang"))

@@ -64,7 +64,8 @@ class Packer:
         while n_open > left:
             tokens, segments, losses, offset = max_tokens, max_segments, max_loss, 0
             while n_open and tokens and segments:
-                score = size * (tokens / max_tokens**2) + loss * (losses / max_loss**2)  # the segment's share is the same for all
+                # each size and each room as a share of its limit; a piece is one segment
+                score = size * (tokens / max_tokens**2) + loss * (losses / max_loss**2) + segments / max_segments**2
                 fits = (size <= tokens) & (loss <= losses) & (size > 0)
                 i = int(np.argmax(np.where(fits, score, -1)))
                 n = int(size[i])
@@ -100,15 +101,25 @@ def rows(packer: Packer, first_sequence: int) -> Iterator[pa.RecordBatch]:
         )
 
 
-def packing(path: str, rule: str, end_id: int, tokens: int, segments: int, loss: int, has_loss: bool):
-    """mapInArrow function: doc_id, text (and loss_from: share of the ids that bear no loss, in tokens) to PLACED."""
+def prompts(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, holds: np.ndarray) -> np.ndarray:
+    """Of each stretch of flat, how many ids there are up to the first of those that hold the mark, with it; 0 if none does."""
+    at = np.append(np.flatnonzero(holds[flat]), len(flat))
+    first = at[np.searchsorted(at, starts)]
+    return np.where(first < starts + lengths, first - starts + 1, 0)
+
+
+def packing(path: str, rule: str, end_id: int, tokens: int, segments: int, loss: int, has_loss: bool, prompt: str | None):
+    """mapInArrow function: doc_id, text (and loss_from: so many ids bear no loss) to PLACED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(path, rule).encode, Packer(tokens, segments, loss)
         first = TaskContext.get().partitionId() << 40
         for batch in blocks(batches, block_bytes=ENCODED_BYTES):
             doc_ids, encoded = batch.column("doc_id").to_pylist(), encode(batch.column("text"))
-            froms = batch.column("loss_from").to_pylist() if has_loss else [0] * len(doc_ids)
+            if has_loss:
+                froms = batch.column("loss_from").to_pylist()
+            else:
+                froms = [0] * len(doc_ids) if prompt is None else prompts(encoded.flat, encoded.starts, encoded.lengths, encoder(path, rule).holding(prompt)).tolist()
             for doc_id, at, n, from_ in zip(doc_ids, encoded.starts.tolist(), encoded.lengths.tolist(), froms, strict=True):
                 packer.add((doc_id, np.append(encoded.flat[at : at + n], np.uint32(end_id))), n + 1, from_ or 0)
             yield from rows(packer, first)
@@ -118,16 +129,18 @@ def packing(path: str, rule: str, end_id: int, tokens: int, segments: int, loss:
     return run
 
 
-def pack(docs: DataFrame, path: str, rule: str = "gap", text: str = "text", doc_id: str = "doc_id", end_id: int = 0, tokens: int = 1024, segments: int = 256, loss: int | None = None, loss_from: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, rule: str = "gap", text: str = "text", doc_id: str = "doc_id", end_id: int = 0, tokens: int = 1024, segments: int = 256, loss: int | None = None, loss_from: str | None = None, prompt: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start (its example's ids before it), length, ids (little-endian unsigned 32-bit),
     doc_tokens (with the end id), loss_tokens, sequence_id, offset (in the sequence, gapless from 0).
 
     path: a file of the tokenizers library, rule: see encoders. loss_from names a column with the number of leading
-    tokens that bear no loss (an instruction's prompt; null: 0); without it all tokens bear loss.
+    tokens that bear no loss (an instruction's prompt; null: 0). prompt: a string instead; the ids up to the first that
+    holds it are the prompt, and there is none where no id does. Without both all tokens bear loss. Ties go to the piece
+    that came first. A text of any length is cut; only its ids are held at once.
     """
     from pyspark.sql import functions as F
 
     columns = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")]
     if loss_from:
         columns.append(F.col(loss_from).cast("long").alias("loss_from"))
-    return docs.select(*columns).mapInArrow(tidied(packing(path, rule, end_id, tokens, segments, loss or tokens, bool(loss_from))), PLACED_DDL)
+    return docs.select(*columns).mapInArrow(tidied(packing(path, rule, end_id, tokens, segments, loss or tokens, bool(loss_from), prompt)), PLACED_DDL)

@@ -1,7 +1,8 @@
 """Quality rules: a table of thresholds compiled into one projection, without user functions.
 
-All counts come from array and string functions over a row's own text, so nothing is shuffled. Windows of five words
-are compared by hash first; only texts in which two hashes are equal compare the words themselves.
+All counts come from array and string functions over a row's own text, so nothing is shuffled. Each word is hashed
+once, and a window of five words by the hashes of its words; only where two windows' hashes are equal are the words
+themselves compared.
 
 Nulls and empty texts have no words and fail the base rule. Rows that repeat are judged each. The result has the
 columns given and the new ones; columns of docs that have the names of new ones are replaced.
@@ -42,21 +43,28 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, SPACES[1:], " " * len(SPACES[1:])), " "), "")
 
 
-def word_windows(words: Column, size: int) -> tuple[Column, Column]:
-    """Of all windows of so many words: their hashes in order, and (words, place) sorted. words: a column, not an expression."""
-    starts = F.sequence(F.lit(0), F.size(words) - size)
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(size))))
-    windows = F.array_sort(F.transform(starts, lambda i: F.struct(F.slice(words, i + 1, F.lit(size)).alias("w"), i.alias("i"))))
-    return hashes, windows
+def window_hashes(size: int) -> Column:
+    """Of all windows of so many words a hash of the words' hashes, in order. Needs the column h (hash of each word)."""
+    starts = F.sequence(F.lit(0), F.size("h") - size)
+    return F.when(F.size("h") >= size, F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("h"), i + j) for j in range(size)])))
 
 
-def _covered(windows: Column, size: int) -> Column:
-    """windows: a column, sorted: words in windows that have an equal neighbour."""
+def sorted_windows() -> Column:
+    """(hash, place) of all windows, sorted. Needs the column windows (hashes)."""
+    return F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+
+def _covered(size: int) -> Column:
+    """Words in windows that have an equal neighbour. Needs the columns words and sorted."""
     none = F.array().cast("array<int>")
+
+    def words(w: Column) -> Column:
+        return F.slice(F.col("words"), w["i"] + 1, F.lit(size))
+
     pairs = F.zip_with(
-        F.slice(windows, F.lit(1), F.size(windows) - 1),
-        F.slice(windows, F.lit(2), F.size(windows) - 1),
-        lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(none),
+        F.slice(F.col("sorted"), F.lit(1), F.size("sorted") - 1),
+        F.slice(F.col("sorted"), F.lit(2), F.size("sorted") - 1),
+        lambda a, b: F.when((a["h"] == b["h"]) & (words(a) == words(b)), F.array(a["i"], b["i"])).otherwise(none),
     )
     places = F.array_sort(F.array_distinct(F.flatten(pairs)))
     start = F.struct(F.lit(-size).alias("last"), F.lit(0).cast("long").alias("n"))
@@ -93,26 +101,25 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def judge(docs: DataFrame, text: str = "text", thresholds: list[tuple[str, float | None, float | None]] | None = None) -> DataFrame:
     """docs with the COUNTS (long), base_failed (fewer than 10 words, or over 20 % of them repeated) and kept."""
-    t = F.coalesce(F.col("text"), F.lit(""))
+    t, size = F.coalesce(F.col("text"), F.lit("")), 5
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    rows = rows.select("row", t.alias("text"), word_list(t).alias("words"), F.filter(F.split(t, "\n"), lambda x: without(x, SPACES) != "").alias("lines"))
-    size = 5
-    hashes, windows = word_windows(F.col("words"), size)
-    has = F.size("words") >= size
+    # a line has a word if something is left when white space goes from its ends
+    rows = rows.select("row", t.alias("text"), word_list(t).alias("words"), F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("lines"))
     rows = rows.select(
         "row",
         F.size("words").cast("long").alias("n_words"),
-        F.char_length(without(F.col("text"), SPACES)).cast("long").alias("word_chars"),
+        F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.char_length(w)).alias("word_chars"),
         (F.char_length("text") - F.char_length(without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
-        (F.char_length("text") - F.char_length(without(F.col("text"), "!"))).cast("long").alias("n_bangs"),
+        (F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("!"), F.lit("")))).cast("long").alias("n_bangs"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         "words",
-        F.when(has, F.size(F.array_distinct(hashes)) < F.size("words") - size + 1).otherwise(False).alias("twice"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
     )
-    rows = rows.withColumn("windows", F.when(F.col("twice"), windows)).drop("words", "twice")
-    rows = rows.withColumn("n_repeat_words", F.coalesce(_covered(F.col("windows"), size), F.lit(0)).cast("long")).drop("windows")
+    rows = rows.withColumn("windows", window_hashes(size)).drop("h")
+    rows = rows.withColumn("sorted", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), sorted_windows())).drop("windows")
+    rows = rows.withColumn("n_repeat_words", F.coalesce(_covered(size), F.lit(0)).cast("long")).drop("sorted", "words")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("kept", ~failed & compiled(THRESHOLDS if thresholds is None else thresholds))
     new = [*COUNTS, "base_failed", "kept"]

@@ -4,7 +4,8 @@ A huge text is encoded in chunks that overlap, with the offset of each token. Tw
 inside their overlap where both begin a token and where no encoding can have a token across: before a space that
 follows another character, in a model none of whose pieces has its space sign after another character (checked when
 the model is loaded; other models encode whole texts). The splice is the last such place; where there is none the
-overlap is doubled, and chunks that it takes up entirely are encoded as one.
+overlap is doubled, and a chunk that it takes up entirely is encoded anew at twice its length, so that a text without
+such places costs twice what it does at once.
 
 Nulls: a null text is empty: 0 bytes, 0 tokens. Rows that repeat are counted each; an empty table gives none.
 """
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, tidied
+from .common import blocks, overlaid, tidied
 
 SIGN = "▁"
 
@@ -59,16 +60,26 @@ class Counter:
                 at += 1
             return min(at, n)
 
+        def stable_in(start: int, end: int) -> bool:
+            """Whether there is a place after start and before end that tokens can't have across."""
+            space = data.find(b" ", start + 1, end)
+            while 0 <= space and data[space - 1] == 32:
+                space = data.find(b" ", space + 1, end)
+            return space >= 0
+
         total, at, from_, end = 0, 0, 0, cut(self.chunk)  # tokens before from_; the current chunk is data[at:end]
         here = self.begins(data, at, end)
         while end < n:
             width = self.overlap
             while True:
                 start = cut(max(at, end - width))
-                if start <= from_:  # the overlap has taken up the chunk: encode both as one
-                    end = cut(end + self.chunk)
+                if start <= from_:  # the overlap has taken up the chunk: encode both as one, twice as long
+                    end = cut(at + 2 * (end - at))
                     here = self.begins(data, at, end)
                     break
+                if not stable_in(start, end):  # nothing to splice at: no need to encode it
+                    width *= 2
+                    continue
                 stop = cut(max(start + self.chunk, end + self.overlap))
                 there = self.begins(data, start, stop)
                 both = np.intersect1d(here[(here > start) & (here < end)], there)
@@ -84,15 +95,20 @@ class Counter:
 _counters: dict[tuple, Counter] = {}
 
 
+def counter(path: str, chunk: int, overlap: int) -> Counter:
+    """One per Python worker."""
+    key = (path, chunk, overlap)
+    if key not in _counters:
+        _counters[key] = Counter(*key)
+    return _counters[key]
+
+
 def counting(path: str, chunk: int, overlap: int):
     """mapInArrow function: row, text to row, n_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, chunk, overlap)
-        if key not in _counters:
-            _counters[key] = Counter(*key)
         for batch in blocks(batches):
-            n = _counters[key]([t or "" for t in batch.column("text").to_pylist()])
+            n = counter(path, chunk, overlap)([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64())], ["row", "n_tokens"])
 
     return run
@@ -100,8 +116,6 @@ def counting(path: str, chunk: int, overlap: int):
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", chunk: int = 32_768, overlap: int = 256, limit: int = 4096) -> DataFrame:
     """docs with n_bytes (UTF-8), n_tokens (no begin or end), over_limit (n_tokens > limit); columns of these names are replaced."""
-    from .common import overlaid
-
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     counted = rows.mapInArrow(tidied(counting(path, chunk, overlap)), rows.select("row").schema.add("n_tokens", "long"))
     n_bytes = F.coalesce(F.octet_length(f"row.`{text}`"), F.lit(0)).cast("long")

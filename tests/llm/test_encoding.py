@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -63,7 +64,21 @@ def test_replay_where_a_merge_brings_up_a_lower_rank(tmp_path):
     ranks = bytebpe.Ranks(str(path))
     words = ["".join(RND.choices("abcx", k=RND.randint(1, 14))).encode() for _ in range(3000)]
     ids, counts = ranks.replay(words)
-    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [ranks.by_definition(w) for w in words]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [lowest_first(ranks.rank, w) for w in words]
+    assert [ranks.by_definition(w) for w in words] == [lowest_first(ranks.rank, w) for w in words]
+    long = bytes(RND.choices(b"abcx", k=200_000))
+    began = time.process_time()
+    assert b"".join(tokens[i] for i in ranks.by_definition(long)) == long and time.process_time() - began < 20
+
+
+def lowest_first(rank, word):
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        pairs = [(rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in rank]
+        if not pairs:
+            return [rank[p] for p in parts]
+        at = min(pairs)[1]
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
 
 def test_counts_equal_library(spark):
@@ -133,5 +148,64 @@ def test_packing_keeps_every_id_once_within_limits(spark, limits):
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_counts_of_a_text_without_places_to_splice():
+    counter = tokencount.Counter(P.path("piece_bpe_32k.model"))
+    text = "".join(RND.choices("abcdefgh日本語", k=1_000_000))
+    began = time.process_time()
+    want = len(counter.library.encode(text))
+    alone, began = time.process_time() - began, time.process_time()
+    assert counter([text]) == [want]
+    assert time.process_time() - began < 6 * alone + 5
+
+
+def heuristic(examples, limits):
+    """Vector bin packing as its definition has it: (example, start, length) by sequence; examples within the limits."""
+    left, out = [[i, 0, size, loss] for i, (size, loss) in enumerate(examples)], []
+    while left:
+        room, mine = list(limits), []
+        while room[0] and room[1] and left:
+            def product(x):
+                return x[2] * room[0] / limits[0] ** 2 + min(x[2], x[3]) * room[2] / limits[2] ** 2 + room[1] / limits[1] ** 2
+
+            fits = [x for x in left if x[2] <= room[0] and min(x[2], x[3]) <= room[2]]
+            x = max(fits or left, key=product)  # the first of equals
+            free = x[2] - x[3]  # ids of the prompt
+            n = x[2] if fits else min(x[2], room[0], max(0, free) + room[2])
+            if n < 1:
+                break
+            loss = max(0, n - max(0, free))
+            mine.append((x[0], x[1], n))
+            room = [room[0] - n, room[1] - 1, room[2] - loss]
+            x[1], x[2], x[3] = x[1] + n, x[2] - n, x[3] - loss
+            left = [y for y in left if y[2]]
+        out.append(mine)
+    return out
+
+
+@pytest.mark.parametrize("limits", [(64, 6, 40), (100, 9, 90), (50, 50, 50)])
+def test_packing_is_the_heuristic(limits):
+    sizes = [(n, n - RND.randint(0, n // 2)) for n in (RND.randint(1, limits[0] // 2) for _ in range(200))]
+    sizes = [(n, min(loss, limits[2])) for n, loss in sizes]
+    packer = packing.Packer(*limits)
+    for i, (n, loss) in enumerate(sizes):
+        packer.add(i, n, n - loss)
+    packer.pack()
+    got = {}
+    for i, start, n, loss, sequence, _ in packer.placed:
+        got.setdefault(sequence, []).append((i, start, n))
+    assert [got[k] for k in sorted(got)] == heuristic(sizes, limits)
+    for k in got:
+        assert len(got[k]) <= limits[1] and sum(n for _, _, n in got[k]) <= limits[0] and sum(p[3] for p in packer.placed if p[4] == k) <= limits[2]
+    full = [max(sum(n for _, _, n in got[k]) / limits[0], len(got[k]) / limits[1], sum(p[3] for p in packer.placed if p[4] == k) / limits[2]) for k in sorted(got)[:-1]]
+    assert min(full) > 0.9  # of each sequence but the last one limit is nearly used up
+
+
+def test_prompt_is_what_comes_to_the_first_mark():
+    flat, starts, lengths = np.array([5, 9, 1, 2, 9, 9, 3], np.uint32), np.array([0, 2, 4, 4, 7]), np.array([2, 2, 0, 3, 0])
+    holds = np.zeros(10, bool)
+    holds[9] = True
+    assert packing.prompts(flat, starts, lengths, holds).tolist() == [2, 0, 0, 1, 0]
+
+
 def test_digests():
     assert hashlib.sha256(np.array([1, 2], "<u4").tobytes()).hexdigest() == hashlib.sha256(b"\1\0\0\0\2\0\0\0").hexdigest()

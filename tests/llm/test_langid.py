@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -40,6 +41,42 @@ def test_sample_is_bounded(spark):
     assert (a.places == b.places).all()
 
 
+def test_copies_are_one_text(spark):
+    """A text that is repeated counts once, so that it can't be the whole sample."""
+    rnd = random.Random(6)
+    some = [(lang, text) for lang, text, _ in rows(40, rnd)]
+    df = spark.createDataFrame(some + [some[0]] * 3000 + [some[-1]] * 500, "lang string, text string")
+    a, b = langid.fit(df, per_language=30), langid.fit(spark.createDataFrame(some, "lang string, text string"), per_language=30)
+    assert a.languages == ["aa", "bb", "cc"] and (a.places == b.places).all()
+
+
+def test_predictions_against_sets(spark):
+    """The same rule with a set of n-grams for each language in place of the filter."""
+    rnd = random.Random(5)
+    learned = rows(60, rnd)
+    model = langid.fit(spark.createDataFrame(learned, "lang string, text string, score long"))
+    counts = {lang: Counter(g for of, t, _ in learned if of == lang for g in list_ngrams(t)) for lang in WORDS}
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    sets = {lang: {g for g, x in s.items() if x >= 0.2 * max(o.get(g, 0) for o in share.values())} for lang, s in share.items()}
+    texts = [t for _, t, _ in rows(40, rnd)]
+    names, scores = model.predict(texts)
+    for text, name, score in zip(texts, names, scores, strict=True):
+        grams = list_ngrams(text)
+        each = {lang: sum(g in s for g in grams) / len(grams) for lang, s in sets.items()}
+        best = max(each.values())
+        assert each[name] >= best - 0.01 and abs(score - best) < 0.02
+
+
+def list_ngrams(text):
+    points = [" "]
+    for c in text.lower() + " ":
+        if c.isalpha():
+            points.append(c)
+        elif points[-1] != " ":
+            points.append(" ")
+    return ["".join(points[i : i + n]) for n in langid.SIZES for i in range(len(points) - n + 1)]
+
+
 def brute_ngrams(text):
     points, out = [" "], set()
     for c in text.lower() + " ":

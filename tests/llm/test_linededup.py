@@ -14,14 +14,14 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(rows, min_chars):
+def brute(rows, min_chars, edits=1):
     """Removed line numbers of each row, doc_ids distinct and not null."""
     lines = [(d, i, x.strip(" \t\x0b\x0c\r")) for d, t in sorted(rows) for i, x in enumerate((t or "").split("\n"))]
     lines = [x for x in lines if x[2]]
     out = {d: [] for d, _ in rows}
     for n, (d, i, x) in enumerate(lines):
         for _, _, y in lines[:n]:
-            if x == y or (min(len(x), len(y)) >= min_chars and abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1):
+            if x == y or (min(len(x), len(y)) >= min_chars and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits):
                 out[d].append(i)
                 break
     return out
@@ -54,6 +54,22 @@ def test_against_brute_force(spark, seed):
     assert texts == {d: t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]) for d, t in rows}
 
 
+@pytest.mark.parametrize("edits", [0, 2, 3])
+def test_other_bounds(spark, edits):
+    rows = [*corpus(random.Random(5), 40, 8), (900, None), (901, "")]
+    want = brute(rows, 8, edits)
+    assert want != brute(rows, 8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["removed"] for r in L.find_duplicate_lines(df, min_chars=8, edits=edits).collect()} == want
+
+
+def test_within():
+    rnd = random.Random(4)
+    for _ in range(3000):
+        a, b = ("".join(rnd.choices("ab", k=rnd.randint(0, 7))) for _ in range(2))
+        assert all(L.within(a, b, e) == (distance(a, b) <= e) for e in (0, 1, 2, 3))
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = [(4, "same line\nother"), (4, "same line\nother"), (None, "other\nown"), (2, "same line")]
     got = L.find_duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()

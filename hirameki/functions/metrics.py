@@ -23,6 +23,18 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), JOINT))
 
 
+def token_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def gram_hashes(hashes: Column, n: int) -> Column:
+    """Contiguous n-grams of hashed tokens, each a 64-bit hash: that two unequal ones share one is as good as impossible."""
+    if n == 1:
+        return hashes
+    places = F.when(F.size(hashes) >= n, F.sequence(F.lit(0), F.size(hashes) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(n)]))
+
+
 def f1(precision: Column, recall: Column) -> Column:
     both = precision + recall
     return F.when(both == 0, F.lit(0.0)).otherwise(2 * precision * recall / both)
@@ -38,8 +50,8 @@ def _part(mine: Column, theirs: Column) -> Column:
 
 
 def _by_order(source: Column, prediction: Column, reference: Column, n: int) -> Column:
-    """Sum of keep, add and delete F1 of one order of n-grams."""
-    sets = F.struct(*[F.array_distinct(ngrams(x, n)).alias(k) for k, x in (("s", source), ("p", prediction), ("r", reference))])
+    """Sum of keep, add and delete F1 of one order of n-grams of hashed tokens."""
+    sets = F.struct(*[F.array_distinct(gram_hashes(x, n)).alias(k) for k, x in (("s", source), ("p", prediction), ("r", reference))])
 
     def parts(x: Column) -> Column:
         s, p, r = x["s"], x["p"], x["r"]
@@ -57,7 +69,7 @@ def simplification(source: Column, prediction: Column, reference: Column) -> Col
         total = sum((_by_order(x["s"], x["p"], x["r"], n) for n in range(2, 5)), _by_order(x["s"], x["p"], x["r"], 1))
         return F.when((F.size(x["s"]) == 0) | (F.size(x["p"]) == 0) | (F.size(x["r"]) == 0), F.lit(0.0)).otherwise(total / 12)
 
-    return let(F.struct(source.alias("s"), prediction.alias("p"), reference.alias("r")), score)
+    return let(F.struct(token_hashes(source).alias("s"), token_hashes(prediction).alias("p"), token_hashes(reference).alias("r")), score)
 
 
 def rouge_tokens(text: Column) -> Column:
@@ -94,16 +106,16 @@ def rouge_l(prediction: Column, reference: Column) -> Column:
 
 
 def numbered(grams: Column) -> Column:
-    """Each n-gram with its number among its equals, so that sets of these count like bags. One sort, then linear."""
+    """Hashes of n-gram hashes with their number among their equals, so that sets of these count like bags. One sort, then linear."""
 
     def runs(g: Column) -> Column:
         starts = F.filter(F.transform(g, lambda x, i: F.when((i == 0) | (F.get(g, i - 1) != x), i)), lambda i: i.isNotNull())
 
         def tagged(s: Column) -> Column:
             ends = F.concat(F.slice(s, F.lit(2), F.size(s) - 1), F.array(F.size(g)))
-            return F.flatten(F.zip_with(s, ends, lambda lo, hi: F.transform(F.sequence(F.lit(1), hi - lo), lambda j: F.concat(F.get(g, lo), F.lit("\x1e"), j.cast("string")))))
+            return F.flatten(F.zip_with(s, ends, lambda lo, hi: F.transform(F.sequence(F.lit(1), hi - lo), lambda j: F.xxhash64(F.get(g, lo), j))))
 
-        return F.when(F.size(g) > 0, let(starts, tagged)).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(g) > 0, let(starts, tagged)).otherwise(F.array().cast("array<bigint>"))
 
     return let(F.array_sort(grams), runs)
 
@@ -113,10 +125,11 @@ def bleu(pairs: DataFrame, prediction: str, reference: str, order: int = 4) -> D
 
     Each row gives its clipped matches; sums of those and of lengths are one aggregation without shuffled n-grams.
     """
-    p, r = F.col(prediction), F.col(reference)
+    pairs = pairs.select(token_hashes(F.col(prediction)).alias("p"), token_hashes(F.col(reference)).alias("r"))
+    p, r = F.col("p"), F.col("r")
     columns = [F.size(p).alias("length_p"), F.size(r).alias("length_r")]
     for n in range(1, order + 1):
-        matched = F.size(F.array_intersect(numbered(ngrams(p, n)), numbered(ngrams(r, n))))
+        matched = F.size(F.array_intersect(numbered(gram_hashes(p, n)), numbered(gram_hashes(r, n))))
         columns += [matched.alias(f"m{n}"), F.greatest(F.size(p) - (n - 1), F.lit(0)).alias(f"t{n}")]
     sums = pairs.select(*columns).agg(F.count("*").alias("rows"), *[F.sum(c).cast("double").alias(c) for c in ["length_p", "length_r", *(f"{k}{n}" for n in range(1, order + 1) for k in "mt")]])
     halvings, logs, counted = F.lit(0), F.lit(0.0), F.lit(0)

@@ -1,7 +1,9 @@
-"""Segmentation by a closed vocabulary, as folds over the positions of a text.
+"""Segmentation by a closed vocabulary, as folds over the characters of a text.
 
-Each fold keeps the state of the last few positions only (as many as the longest token has characters), so its cost
-grows with the text's length, not its square. The vocabulary is a literal set in the plan; its size is checked.
+A fold keeps the last characters and the costs of the last few positions (as many as the longest token has characters),
+and writes down in one letter which token it chose for each position; a second fold walks back over those letters. So no
+position is searched for and no run copied: cost grows with the text's length, but for the string of letters, which
+grows by copying. The vocabulary is a literal set in the plan; its size is checked.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hirameki.errors import DataContractError
+from hirameki.functions.text import characters, let
 
 #: Tokens that may be literals in a plan.
 MOST_TOKENS = 50_000
@@ -45,14 +48,19 @@ class Vocabulary:
         return text.isin(list(self.tokens))
 
 
-def _positions(text: Column) -> Column:
-    return F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).when(F.length(text) == 0, F.array().cast("array<int>"))
+#: The letter of an unknown character, and the first of those that stand for tokens, by the place of their length.
+UNKNOWN, FIRST_LETTER = "0", 0x100
 
 
-def _edges(vocabulary: Vocabulary, text: Column, states: Column, k: Column):
-    """For each length, from the longest: the state that many characters before k, and whether a token ends at k from there."""
+def _ends(vocabulary: Vocabulary, last: Column):
+    """For each length, from the longest: whether the last characters end in a token of that length."""
     for length, tokens in vocabulary.by_length.items():
-        yield length, F.try_element_at(states, F.lit(-length)), F.substring(text, k - (length - 1), F.lit(length)).isin(tokens) & (k >= length)
+        yield length, (F.length(last) >= length) & F.substring(last, -length, length).isin(tokens)
+
+
+def _before(states: Column, length: int) -> Column:
+    """The state so many characters before; null before the text."""
+    return F.try_element_at(states, F.lit(-length))
 
 
 def _pushed(states: Column, state: Column, keep: int) -> Column:
@@ -60,50 +68,129 @@ def _pushed(states: Column, state: Column, keep: int) -> Column:
     return F.concat(F.when(F.size(states) >= keep, F.slice(states, -(keep - 1), keep - 1) if keep > 1 else F.slice(states, 1, 0)).otherwise(states), F.array(state))
 
 
+def _grown(last: Column, char: Column, keep: int) -> Column:
+    return F.concat(F.substring(last, -(keep - 1), keep - 1) if keep > 1 else F.lit(""), char)
+
+
 def covered(text: Column, vocabulary: Vocabulary) -> Column:
     """Whether tokens tile the text; the empty text is tiled."""
+    keep = vocabulary.longest
+
+    def step(s: Column, char: Column) -> Column:
+        last = _grown(s["last"], char, keep)
+
+        def reached(x: Column) -> Column:
+            reach = F.lit(False)
+            for length, ends in _ends(vocabulary, x):
+                reach = reach | (F.coalesce(_before(s["reached"], length), F.lit(False)) & ends)
+            return F.struct(x.alias("last"), _pushed(s["reached"], reach, keep).alias("reached"))
+
+        return let(last, reached)
+
+    start = F.struct(F.lit("").alias("last"), F.array(F.lit(True)).alias("reached"))
+    return F.when(text.isNotNull(), F.aggregate(characters(text), start, step, lambda s: F.element_at(s["reached"], -1)))
+
+
+def _letters(vocabulary: Vocabulary) -> dict[int, str]:
+    return {length: chr(FIRST_LETTER + i) for i, length in enumerate(vocabulary.by_length)}
+
+
+def _chosen(chars: Column, vocabulary: Vocabulary, unknown: bool) -> Column:
+    """A letter for each character: what the best tiling of the text up to it ends in.
+
+    The best has the least cost, on ties the longest token. Cost: unknown characters, or tokens where none may be
+    unknown; then a character that no tiling ends at has the letter of an unknown one.
+    """
+    keep, letters, none = vocabulary.longest, _letters(vocabulary), F.lit(None).cast("int")
+
+    def step(s: Column, char: Column) -> Column:
+        def moved(last: Column) -> Column:
+            def option(cost: Column, rank: int, letter: str) -> Column:
+                return F.struct(cost.alias("cost"), F.lit(rank).alias("rank"), F.lit(letter).alias("letter"))
+
+            options = [option(_before(s["costs"], 1) + 1, 0, UNKNOWN)] if unknown else []
+            for length, ends in _ends(vocabulary, last):
+                cost = _before(s["costs"], length)
+                options.append(F.when(cost.isNotNull() & ends, option(cost if unknown else cost + 1, -length, letters[length])))
+            options.append(F.lit(None).cast("struct<cost:int,rank:int,letter:string>"))
+
+            def pushed(best: Column) -> Column:
+                new = F.struct(last.alias("last"), _pushed(s["costs"], best["cost"], keep).alias("costs"), F.concat(s["letters"], F.coalesce(best["letter"], F.lit(UNKNOWN))).alias("letters"))
+                return new
 
-    def step(states: Column, k: Column) -> Column:
-        reach = F.lit(False)
-        for _, before, ends in _edges(vocabulary, text, states, k):
-            reach = reach | (ends & F.coalesce(before, F.lit(False)))
-        return _pushed(states, reach, vocabulary.longest)
+            return let(F.least(*options), pushed)
 
-    return F.aggregate(_positions(text), F.array(F.lit(True)), step, lambda states: F.element_at(states, -1))
+        return let(_grown(s["last"], char, keep), moved)
+
+    start = F.struct(F.lit("").alias("last"), F.array(F.lit(0)).alias("costs"), F.lit("").alias("letters"))
+    return F.aggregate(chars, start, step, lambda s: F.struct(s["letters"].alias("letters"), F.element_at(s["costs"], -1).alias("cost")))
+
+
+def _walked(letters: Column, vocabulary: Vocabulary) -> Column:
+    """Of each character, by walking back from the end: `b` a token begins, `i` inside one, `u` unknown. letters: an array."""
+    lengths = F.create_map(*[F.lit(x) for length, letter in _letters(vocabulary).items() for x in (letter, length)])
+
+    def step(s: Column, letter: Column) -> Column:
+        inside = s["left"] > 0
+        left = F.when(inside, s["left"] - 1).otherwise(F.coalesce(F.try_element_at(lengths, letter), F.lit(1)) - 1)
+        mark = F.when(~inside & (letter == UNKNOWN), "u").when(left == 0, "b").otherwise("i")
+        return F.struct(left.alias("left"), F.concat(s["marks"], mark).alias("marks"))
+
+    start = F.struct(F.lit(0).alias("left"), F.lit("").alias("marks"))
+    return F.aggregate(F.reverse(letters), start, step, lambda s: F.reverse(characters(s["marks"])))
+
+
+def _stretches(chars: Column, starts: Column, ends: Column) -> Column:
+    """The texts from each start up to each end."""
+    return F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), ""))
 
 
 def uncovered_runs(text: Column, vocabulary: Vocabulary) -> Column:
-    """Unknown runs, in order, of the tiling with the fewest unknown characters (on ties the earliest start of an edge wins)."""
-    state = "struct<cost:int,rank:int,unknown:boolean,runs:array<string>>"
+    """Unknown runs, in order, of the tiling with the fewest unknown characters (on ties the longest last token wins)."""
+
+    def runs(x: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(x["marks"]) - 1)
 
-    def step(states: Column, k: Column) -> Column:
-        last, char = F.element_at(states, -1), F.substring(text, k, F.lit(1))
-        grown = F.concat(F.slice(last["runs"], 1, F.size(last["runs"]) - 1), F.array(F.concat(F.element_at(last["runs"], -1), char)))
-        runs = F.when(last["unknown"], grown).otherwise(F.concat(last["runs"], F.array(char)))
-        options = [F.struct((last["cost"] + 1).alias("cost"), F.lit(0).alias("rank"), F.lit(True).alias("unknown"), runs.alias("runs"))]
-        for length, before, ends in _edges(vocabulary, text, states, k):
-            options.append(F.when(ends, F.struct(before["cost"].alias("cost"), F.lit(-length).alias("rank"), F.lit(False).alias("unknown"), before["runs"].alias("runs"))))
-        return _pushed(states, (F.least(*options) if len(options) > 1 else options[0]).cast(state), vocabulary.longest)
+        def at(i: Column, mark: str) -> Column:
+            return F.coalesce(F.get(x["marks"], i) == mark, F.lit(False))
 
-    start = F.array(F.struct(F.lit(0).alias("cost"), F.lit(0).alias("rank"), F.lit(False).alias("unknown"), F.array().cast("array<string>").alias("runs")).cast(state))
-    return F.aggregate(_positions(text), start, step, lambda states: F.element_at(states, -1)["runs"])
+        starts = F.filter(places, lambda i: at(i, "u") & ~at(i - 1, "u"))
+        ends = F.transform(F.filter(places, lambda i: at(i, "u") & ~at(i + 1, "u")), lambda i: i + 1)
+        return _stretches(x["chars"], starts, ends)
+
+    def found(chars: Column) -> Column:
+        marked = let(characters(_chosen(chars, vocabulary, True)["letters"]), lambda letters: _walked(letters, vocabulary))
+        return let(F.struct(chars.alias("chars"), marked.alias("marks")), runs)
+
+    empty = F.array().cast("array<string>")
+    return F.when(F.length(text) == 0, empty).when(text.isNotNull(), let(characters(text), found))
 
 
 def segments(text: Column, vocabulary: Vocabulary) -> Column:
     """Tokens that tile the text, null if none do: the longest last token that is possible, before it the fewest tokens
     (on ties the longest last one). So the whole need not have the fewest."""
-    state = "struct<cost:int,rank:int,tokens:array<string>>"
-    none = F.lit(None).cast(state)
-
-    def step(states: Column, k: Column) -> Column:
-        options, first = [], None
-        for length, before, ends in _edges(vocabulary, text, states, k):
-            tokens = F.concat(before["tokens"], F.array(F.substring(text, k - (length - 1), F.lit(length))))
-            found = F.when(ends & before.isNotNull(), F.struct((before["cost"] + 1).alias("cost"), F.lit(-length).alias("rank"), tokens.alias("tokens")).cast(state))
-            options.append(found)
-        first = F.coalesce(*options)
-        best = F.least(*options) if len(options) > 1 else options[0]
-        return _pushed(states, F.when(k == F.length(text), first).otherwise(best), vocabulary.longest)
-
-    start = F.array(F.struct(F.lit(0).alias("cost"), F.lit(0).alias("rank"), F.array().cast("array<string>").alias("tokens")).cast(state))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.aggregate(_positions(text), start, step, lambda s: F.coalesce(F.element_at(s, -1), none)["tokens"]))
+    letters_of = _letters(vocabulary)
+
+    def cut(x: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(x["marks"]) - 1), lambda i: F.get(x["marks"], i) == "b")
+        return let(starts, lambda s: _stretches(x["chars"], s, F.concat(F.slice(s, F.lit(2), F.size(s) - 1), F.array(F.size(x["marks"])))))
+
+    def found(chars: Column) -> Column:
+        def ended(best: Column) -> Column:
+            letters = characters(best["letters"])
+
+            def last(x: Column) -> Column:
+                """The letter of the longest last token before which the text is tiled: a place is if its letter isn't that of an unknown one, or it is the start."""
+                options = []
+                for length, letter in letters_of.items():
+                    tail = F.array_join(F.slice(chars, F.greatest(F.size(chars) - length + 1, F.lit(1)), F.lit(length)), "")
+                    tiled = (F.size(chars) == length) | F.coalesce(F.get(x, F.size(chars) - length - 1) != UNKNOWN, F.lit(False))
+                    options.append(F.when((F.size(chars) >= length) & tiled & tail.isin(vocabulary.by_length[length]), F.lit(letter)))
+                return F.concat(F.slice(x, F.lit(1), F.size(x) - 1), F.array(F.coalesce(*options)))
+
+            marked = let(letters, lambda x: let(last(x), lambda y: _walked(y, vocabulary)))
+            return F.when(best["cost"].isNotNull(), let(F.struct(chars.alias("chars"), marked.alias("marks")), cut))
+
+        return let(_chosen(chars, vocabulary, False), ended)
+
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(text.isNotNull(), let(characters(text), found))

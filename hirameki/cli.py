@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from hirameki import providers, sources
 from hirameki.cluster import ship
 from hirameki.errors import DataContractError
+from hirameki.functions import metrics
+from hirameki.functions import morphology as M
 from hirameki.functions.vocabulary import Vocabulary
 from hirameki.operators import coverage, dataset, generation, review, selection, training
 
@@ -89,6 +91,8 @@ def count(spark: SparkSession, a: argparse.Namespace) -> None:
     rows, morphemes = with_morphemes(captions(spark, a.input_json, a.field), a.analyzer)
     vocabulary = tokens_of(spark, a.tokens) if a.tokens else None
     tokens = coverage.normalized_tokens(morphemes, a.normalize, vocabulary, not a.surface, a.kana, a.normalize_numbers)
+    if a.segment_to_tokens and vocabulary:
+        tokens = coverage.segmented(tokens, vocabulary)
     known = sources.vocabulary(spark, a.tokens) if a.tokens else None
     print(json.dumps(coverage.token_stats(rows, tokens, known).first().asDict()))
     coverage.frequencies(rows, tokens).write.json(a.output)
@@ -145,6 +149,67 @@ def meaning(spark: SparkSession, a: argparse.Namespace) -> None:
     print(json.dumps(generation.thresholds(spark.read.parquet(a.output), "semantic_similarity", a.percentiles).first()["thresholds"]))
 
 
+def score(spark: SparkSession, a: argparse.Namespace) -> None:
+    rows = captions(spark, a.input_json, a.field)
+    done = generation.scored(rows, "text", named(a.model))
+    for name in ("lm_total_logprob", "lm_avg_logprob", "lm_ppl"):
+        done = set_field(done, name, F.col(name))
+    root = dataset.stage_metadata(root_of(spark, a.input_json), "lm_scoring", {"model": a.model, "caption_field": a.field})
+    sources.export_document(done, root, a.output_json)
+
+
+def generate(spark: SparkSession, a: argparse.Namespace) -> None:
+    rows = dataset.shard(captions(spark, a.input_json, a.field), "index", a.num_shards, a.shard)
+    done = dataset.with_source_copy(generation.simplified(rows, "text", named(a.model), "simplified"), a.source_field, a.field)
+    done = set_field(done, a.output_field, F.col("simplified"))
+    told = {"model": a.model, "caption_field": a.field, "output_caption_field": a.output_field, "source_caption_field": a.source_field, "sharding": {"num_shards": a.num_shards, "shard_id": a.shard}}
+    sources.export_document(done, dataset.stage_metadata(root_of(spark, a.input_json), "simplification", told), a.output_json)
+
+
+def samples(spark: SparkSession, a: argparse.Namespace) -> None:
+    rows = dataset.shard(captions(spark, a.input_json, a.field), "index", a.num_shards, a.shard)
+    done = generation.sampled(rows, "text", named(a.model), a.num_sequences)
+    sources.write_json_lines(done.select("index", "id", "image_id", F.col("text").alias("source"), "candidates"), a.output_jsonl)
+
+
+def replace(spark: SparkSession, a: argparse.Namespace) -> None:
+    vocabulary, table = tokens_of(spark, a.tokens), {}
+    if a.replacements:
+        found = sources.replacements(spark, a.replacements, sources.vocabulary(spark, a.tokens)).limit(60_001).collect()  # literals of a plan, as the vocabulary
+        if len(found) > 60_000:
+            raise DataContractError("60000 replacements at most")
+        table = {r["token"]: r["replacement"] for r in found}
+    rows, morphemes = with_morphemes(captions(spark, a.input_json, a.field), a.analyzer)
+    # without an analyzer texts stay as they are
+    done = set_field(rows, a.output_field or a.field, F.col("text") if morphemes is None else M.replaced_caption(morphemes, vocabulary, table))
+    sources.export_document(done, root_of(spark, a.input_json), a.output_json)
+
+
+def predict(spark: SparkSession, a: argparse.Namespace) -> None:
+    done = generation.simplified(sources.inline_texts(spark, a.text, a.input_file), "text", named(a.model), "prediction").orderBy("index")
+    for r in done.select("text", "prediction").toLocalIterator():  # what is printed
+        print(json.dumps({"source": r["text"], "prediction": r["prediction"]}, ensure_ascii=False) if a.json else r["prediction"])
+
+
+def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
+    rows = generation.simplified(sources.json_lines(spark, a.data_file, "source STRING, target STRING"), "source", named(a.model), "prediction")
+    texts, tokens = ("source", "prediction", "target"), None
+    if a.predictions_path:
+        sources.write_json_lines(rows.select("source", "target", "prediction"), a.predictions_path)
+        rows = sources.json_lines(spark, a.predictions_path, "source STRING, target STRING, prediction STRING")
+    if a.tokenize == "analyzer":
+        tokens = tuple(f"_{c}" for c in texts)
+        for c, t in zip(texts, tokens, strict=True):
+            rows = providers.surfaces(rows, c, named(a.analyzer), t)
+    else:
+        rows = rows.select(*texts, *[metrics.TOKENIZERS[a.tokenize](F.coalesce(F.col(c), F.lit(""))).alias(f"_{c}") for c in texts])
+        tokens = tuple(f"_{c}" for c in texts)
+    found = metrics.corpus_means(rows, *texts, tokens=tokens).first()
+    score_ = metrics.bleu(rows, "_prediction", "_target").first()["bleu"]
+    names = {"sari": "sari", "rougeL": "rouge_l", "copy_rate": "copy_rate", "avg_len_pred": "mean_prediction_length", "avg_len_ref": "mean_reference_length", "len_ratio": "length_ratio"}
+    print(json.dumps({k: found[v] for k, v in names.items()} | {"bleu": score_}))
+
+
 def serve(spark: SparkSession, a: argparse.Namespace) -> None:
     from hirameki.review_server import ReviewStore, server
 
@@ -187,9 +252,16 @@ def parser() -> argparse.ArgumentParser:
     p = stage("prepare", prepare, sheet="平易化コーパス", source_column="#日本語(原文)", target_column="#やさしい日本語", output_dir="data/processed", validation_ratio=0.05, seed=42)
     p.add_argument("--input-files", nargs="+", required=True)
     stage("check", check, "input-json", "tokens", field="caption", mode="char", analyzer=None, failures_output=None, missing_tokens_output=None)
-    stage("count", count, "input-json", "analyzer", "output", field="caption", tokens=None, normalize=False, surface=False, kana=False, normalize_numbers=False, top_k=20)
+    stage("count", count, "input-json", "analyzer", "output", field="caption", tokens=None, normalize=False, surface=False, kana=False, normalize_numbers=False, segment_to_tokens=False, top_k=20)
     stage("split", split, "input-json", "tokens", "output-fail-json", source_field="source_caption", target_field="caption", mode="char", analyzer=None, output_pass_jsonl=None, output_pass_csv=None, csv_source_column="source", csv_target_column="target")
     stage("select", select, "input-json", "samples-jsonl", "tokens", "output-json", source_field="source_caption", output_field="caption", num_shards=1, shard=0)
+    stage("score", score, "input-json", "model", "output-json", field="caption")
+    stage("generate", generate, "input-json", "model", "output-json", field="caption", output_field="caption", source_field="source_caption", num_shards=1, shard=0)
+    stage("samples", samples, "input-json", "model", "output-jsonl", field="caption", num_sequences=16, num_shards=1, shard=0)
+    stage("replace", replace, "input-json", "tokens", "output-json", field="caption", output_field=None, analyzer=None, replacements=None)
+    p = stage("predict", predict, "model", input_file=None, json=False)
+    p.add_argument("--text", action="append")
+    stage("evaluate", evaluate, "model", "data-file", tokenize="char", analyzer="hirameki.providers:TaggerAnalyzer", predictions_path=None)
     stage("merge", merge, "input-glob", "output-json", sort_key="id")
     for name, run, shares in (("fluency", fluency, [0.95, 0.99]), ("meaning", meaning, [0.05, 0.01])):
         p = stage(name, run, "input-json", "model", "output", source_field="caption", target_field="caption_replaced")

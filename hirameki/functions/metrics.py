@@ -144,10 +144,13 @@ def bleu(pairs: DataFrame, prediction: str, reference: str, order: int = 4) -> D
     return sums.select(F.when(F.col("rows") > 0, score).alias("bleu"))
 
 
-def corpus_means(pairs: DataFrame, source: str, prediction: str, reference: str, tokenizer: str = "char") -> DataFrame:
-    """One row of means over triples of texts: sari, rouge_l, copy_rate, mean lengths and length_ratio; zeros for no rows."""
+def corpus_means(pairs: DataFrame, source: str, prediction: str, reference: str, tokenizer: str = "char", tokens: tuple[str, str, str] | None = None) -> DataFrame:
+    """One row of means over triples of texts: sari, rouge_l, copy_rate, mean lengths and length_ratio; zeros for no rows.
+
+    tokens: columns that hold the three texts' tokens already (an analyzer's surfaces).
+    """
     cut = TOKENIZERS[tokenizer]
-    s, p, r = (cut(F.coalesce(F.col(c), F.lit(""))) for c in (source, prediction, reference))
+    s, p, r = (F.col(c) for c in tokens) if tokens else (cut(F.coalesce(F.col(c), F.lit(""))) for c in (source, prediction, reference))
     rows = pairs.select(s.alias("s"), p.alias("p"), r.alias("r"), F.col(prediction).alias("pt"), F.col(reference).alias("rt"), (F.col(source) == F.col(prediction)).alias("copied"))
     rows = rows.select(simplification(F.col("s"), F.col("p"), F.col("r")).alias("sari"), rouge_l(F.col("pt"), F.col("rt")).alias("rouge"), F.col("copied").cast("double").alias("copied"), F.size("p").alias("np"), F.size("r").alias("nr"))
 

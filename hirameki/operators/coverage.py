@@ -45,22 +45,31 @@ def frequencies(rows: DataFrame, tokens: Column, top: int | None = None) -> Data
     return ranked if top is None else ranked.limit(top)
 
 
+def segmented(tokens: Column, vocabulary: V.Vocabulary) -> Column:
+    """Tokens, those that aren't in the vocabulary but are tiled by it as their segments."""
+    return F.flatten(F.transform(tokens, lambda t: F.when(vocabulary.has(t), F.array(t)).otherwise(F.coalesce(V.segments(t, vocabulary), F.array(t)))))
+
+
 def token_stats(rows: DataFrame, tokens: Column, known: DataFrame | None = None) -> DataFrame:
     """One row: total_captions, total_tokens, unique_tokens, and captions_with_outside_tokens with its rate (0 for no rows).
 
-    known: a table of tokens; of each caption, one token outside it is enough. Tokens meet the table once each, by
-    distinct token with its captions, so the table may be large.
+    known: a table of tokens; of each caption, one token outside it is enough (tokens that a vocabulary tiles aren't, if
+    tokens are segmented()). Tokens meet the table by distinct token, so the table may be large.
     """
     rows = rows.select(F.monotonically_increasing_id().alias("caption"), tokens.alias("tokens"))
     each = rows.select("caption", F.explode("tokens").alias("token"))
-    one = rows.agg(F.count("*").alias("total_captions"))
-    totals = each.groupBy("token").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_tokens"), F.count("*").alias("unique_tokens"))
-    out = one.join(totals)  # one row each
+    parts = rows.agg(F.count("*").alias("total_captions"))
+    parts = parts.unionByName(each.groupBy("token").agg(F.count("*").alias("n")).agg(F.sum("n").alias("total_tokens"), F.count("*").alias("unique_tokens")), allowMissingColumns=True)
+    names = ["total_captions", "total_tokens", "unique_tokens"]
     if known is not None:
-        outside = each.join(known.select("token").distinct(), "token", "left_anti").select("caption").distinct().agg(F.count("*").alias("captions_with_outside_tokens"))
-        rate = F.when(F.col("total_captions") > 0, F.col("captions_with_outside_tokens") / F.col("total_captions")).otherwise(0.0)
-        out = out.join(outside).withColumn("captions_with_outside_tokens_rate", rate)
-    return out
+        outside = each.join(known.select("token").distinct(), "token", "left_anti").select("caption").distinct()
+        names.append("captions_with_outside_tokens")
+        parts = parts.unionByName(outside.agg(F.count("*").alias(names[-1])), allowMissingColumns=True)
+    out = parts.agg(*[F.coalesce(F.max(c), F.lit(0).cast("long")).alias(c) for c in names])
+    if known is None:
+        return out
+    rate = F.when(F.col("total_captions") > 0, F.col("captions_with_outside_tokens") / F.col("total_captions")).otherwise(0.0)
+    return out.withColumn("captions_with_outside_tokens_rate", rate)
 
 
 def normalized_tokens(morphemes: Column, normalize: bool = False, vocabulary: V.Vocabulary | None = None, lemma: bool = True, kana: bool = False, numbers: bool = False) -> Column:

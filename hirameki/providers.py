@@ -46,6 +46,41 @@ def morphemes(rows: DataFrame, text: str, factory: Callable[[], Provider], name:
     return provided(rows, text, name, f"array<{MORPHEME}>", factory)
 
 
+def surfaces(rows: DataFrame, text: str, factory: Callable[[], Provider], name: str) -> DataFrame:
+    """rows with the surfaces of an analyzer's morphemes."""
+    made = morphemes(rows, text, factory, "_morphemes")
+    return made.withColumn(name, F.filter(F.transform("_morphemes", lambda m: m["surface"]), lambda t: t != "")).drop("_morphemes")
+
+
+class TaggerAnalyzer:
+    """Morphemes of a MeCab tagger by the fugashi library, where that is installed; options go to the tagger.
+
+    The tagger takes its settings file and dictionary from the options, else from MECABRC and MECAB_DICDIR. A dictionary
+    whose features have no names gives surfaces alone.
+    """
+
+    def __init__(self, options: str = ""):
+        import os
+
+        try:
+            import fugashi
+        except ImportError as e:
+            raise RuntimeError("this analyzer needs the fugashi library and a dictionary") from e
+        given = [f"{flag} {os.environ[name]}" for flag, name in (("-r", "MECABRC"), ("-d", "MECAB_DICDIR")) if not options and os.environ.get(name)]
+        options = options or " ".join(given)
+        try:
+            self.tagger = fugashi.Tagger(options)
+        except RuntimeError:
+            self.tagger = fugashi.GenericTagger(options)
+
+    def __call__(self, texts: list[str | None]) -> list:
+        def field(token, name: str) -> str | None:
+            value = token.surface if name == "surface" else getattr(token.feature, name, None)
+            return None if value is None else str(value)
+
+        return [[{f: field(t, f) for f in FIELDS} for t in self.tagger(x or "")] for x in texts]
+
+
 class WhiteSpaceAnalyzer:
     """Stub: words between white space, each its own base form."""
 
@@ -63,6 +98,13 @@ class RuleSimplifier:
         return [" ".join(self.table.get(w, w) for w in (t or "").split(" ")) for t in texts]
 
 
+class CopySampler:
+    """Stub for a sampling model: of each text the text itself and its words in reverse, two sequences with scores."""
+
+    def __call__(self, texts: list[str]) -> list[tuple[str, float | None]]:
+        return [pair for t in texts for pair in ((t, -1.0), (" ".join(reversed(t.split(" "))), -2.0))]
+
+
 class LengthScorer:
     """Stub for a language model: each token's log probability is minus the logarithm of one more than its length."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -37,6 +38,13 @@ def reviewed_root(root: dict[str, Any]) -> dict[str, Any]:
     return {k: root.get(k) for k in REVIEW_KEYS}
 
 
+def written_number(x: Any) -> float:
+    """Numbers with a fraction are decimals in a VARIANT."""
+    if isinstance(x, Decimal):
+        return float(x)
+    raise TypeError(f"{type(x).__name__} is no JSON value")
+
+
 def export_document(rows: DataFrame, root: dict[str, Any], path: str, order: str = "index", indent: int | None = None) -> int:
     """One JSON document in a local file: root, and rows (a column ann: VARIANT or struct) as `annotations`, in order.
 
@@ -44,12 +52,12 @@ def export_document(rows: DataFrame, root: dict[str, Any], path: str, order: str
     """
     n = 0
     with open(path, "w", encoding="utf-8") as f:
-        head = json.dumps(root, ensure_ascii=False, indent=indent)
+        head = json.dumps(root, ensure_ascii=False, indent=indent, default=written_number)
         f.write(head[:-1].rstrip() + (", " if root else "") + '"annotations": [')
         for row in rows.orderBy(order).select("ann").toLocalIterator():
             value = row["ann"]
             value = value.toPython() if hasattr(value, "toPython") else value.asDict(recursive=True)
-            f.write((", " if n else "") + json.dumps(value, ensure_ascii=False))
+            f.write((", " if n else "") + json.dumps(value, ensure_ascii=False, default=written_number))
             n += 1
         f.write("]}")
     return n

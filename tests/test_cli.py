@@ -43,3 +43,47 @@ def test_prepare_count_scores_losses(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out) == pytest.approx({"0.95": 2.0, "0.99": 2.0})
     cli.main(["losses", "--input", put(tmp_path / "l.jsonl", '{"step":1,"eval_loss":2.0}\n{"step":2,"eval_loss":1.0}\n')])
     assert '"step": 2' in capsys.readouterr().out
+
+
+def test_score_generate_samples_replace(spark, tmp_path):
+    rows = [{"id": 3, "image_id": 1, "caption": "big dog", "note": {"a": [1]}}, {"id": 1, "image_id": 2, "caption": "", "source_caption": None}]
+    document = put(tmp_path / "a.json", {"info": 1, "annotations": rows})
+
+    def out(name):
+        return json.loads((tmp_path / name).read_text())
+
+    cli.main(["score", "--input-json", document, "--model", "hirameki.providers:LengthScorer", "--output-json", str(tmp_path / "s.json")])
+    first, second = out("s.json")["annotations"]
+    assert first["lm_ppl"] == pytest.approx(4.0) and first["note"] == {"a": [1]} and second["lm_ppl"] in (float("inf"), "Infinity") and out("s.json")["lm_scoring"]["caption_field"] == "caption"
+    cli.main(["generate", "--input-json", document, "--model", "tests.test_cli:small", "--output-json", str(tmp_path / "g.json")])
+    made = out("g.json")
+    assert [a["caption"] for a in made["annotations"]] == ["small dog", ""] and [a["source_caption"] for a in made["annotations"]] == ["big dog", None]
+    assert made["simplification"]["sharding"] == {"num_shards": 1, "shard_id": 0} and made["info"] == 1
+    cli.main(["samples", "--input-json", document, "--model", "hirameki.providers:CopySampler", "--num-sequences", "2", "--output-jsonl", str(tmp_path / "c")])
+    got = {r["index"]: r for r in spark.read.json(str(tmp_path / "c")).collect()}
+    assert got[0]["id"] == 3 and got[0]["source"] == "big dog" and [c["text"] for c in got[0]["candidates"]] == ["big dog", "dog big"]
+    tokens, table = put(tmp_path / "v.txt", "dog\nsmall\n"), put(tmp_path / "r.json", {"big": "small"})
+    cli.main(["replace", "--input-json", document, "--tokens", tokens, "--replacements", table, "--analyzer", "hirameki.providers:WhiteSpaceAnalyzer", "--output-field", "caption_replaced", "--output-json", str(tmp_path / "r2.json")])
+    assert [a["caption_replaced"] for a in out("r2.json")["annotations"]] == ["smalldog", ""] and out("r2.json")["annotations"][0]["caption"] == "big dog"
+
+
+def small():
+    from hirameki.providers import RuleSimplifier
+
+    return RuleSimplifier({"big": "small"})
+
+
+def test_predict_evaluate_count_segments(spark, tmp_path, capsys):
+    cli.main(["predict", "--model", "tests.test_cli:small", "--text", "a big cat", "--json"])
+    assert json.loads(capsys.readouterr().out) == {"source": "a big cat", "prediction": "a small cat"}
+    data = put(tmp_path / "d.jsonl", '{"source":"a big cat","target":"a small cat"}\n{"source":"x","target":"x y"}\n')
+    for more in (["--tokenize", "whitespace"], ["--tokenize", "analyzer", "--analyzer", "hirameki.providers:WhiteSpaceAnalyzer"]):
+        cli.main(["evaluate", "--model", "tests.test_cli:small", "--data-file", data, "--predictions-path", str(tmp_path / more[1]), *more])
+        got = json.loads(capsys.readouterr().out)
+        assert (got["copy_rate"], got["avg_len_pred"], got["avg_len_ref"]) == (0.5, 2.0, 2.5) and got["len_ratio"] == pytest.approx(0.8) and 0 < got["sari"] < 1
+    document = put(tmp_path / "a.json", {"annotations": [{"id": 1, "caption": "redhot pan"}, {"id": 2, "caption": "red"}]})
+    base = ["count", "--input-json", document, "--analyzer", "hirameki.providers:WhiteSpaceAnalyzer", "--tokens", put(tmp_path / "v.txt", "red\nhot\npan\n"), "--top-k", "0"]
+    for more, tokens, unique, outside in (([], 3, 3, 1), (["--segment-to-tokens"], 4, 3, 0)):
+        cli.main([*base, "--output", str(tmp_path / f"n{outside}"), *more])
+        got = json.loads(capsys.readouterr().out)
+        assert (got["total_captions"], got["total_tokens"], got["unique_tokens"], got["captions_with_outside_tokens"]) == (2, tokens, unique, outside)

@@ -40,26 +40,29 @@ def f1(precision: Column, recall: Column) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(2 * precision * recall / both)
 
 
-def _part(mine: Column, theirs: Column) -> Column:
-    """F1 of two sets."""
-
-    def score(shared: Column) -> Column:
-        return f1(shared / F.greatest(F.lit(1), F.size(mine)), shared / F.greatest(F.lit(1), F.size(theirs)))
-
-    return let(F.size(F.array_intersect(mine, theirs)), score)
+def _part(mine: Column, theirs: Column, shared: Column) -> Column:
+    """F1 of two sets of these sizes that share so many."""
+    return f1(shared / F.greatest(F.lit(1), mine), shared / F.greatest(F.lit(1), theirs))
 
 
 def _by_order(source: Column, prediction: Column, reference: Column, n: int) -> Column:
-    """Sum of keep, add and delete F1 of one order of n-grams of hashed tokens."""
+    """Sum of keep, add and delete F1 of one order of n-grams of hashed tokens: all follow from the sizes of intersections."""
     sets = F.struct(*[F.array_distinct(gram_hashes(x, n)).alias(k) for k, x in (("s", source), ("p", prediction), ("r", reference))])
 
-    def parts(x: Column) -> Column:
-        s, p, r = x["s"], x["p"], x["r"]
-        pairs = {"keep": (F.array_intersect(s, p), F.array_intersect(s, r)), "add": (F.array_except(p, s), F.array_except(r, s)), "drop": (F.array_except(s, p), F.array_except(s, r))}
-        both = F.struct(*[c.alias(f"{k}{i}") for k, pair in pairs.items() for i, c in enumerate(pair)])
-        return let(both, lambda y: _part(y["keep0"], y["keep1"]) + _part(y["add0"], y["add1"]) + _part(y["drop0"], y["drop1"]))
+    def sizes(x: Column) -> Column:
+        def counted(sp: Column) -> Column:
+            of = {"sp": F.size(sp), "sr": F.size(F.array_intersect(x["s"], x["r"])), "pr": F.size(F.array_intersect(x["p"], x["r"])), "spr": F.size(F.array_intersect(sp, x["r"]))}
+            return F.struct(*[F.size(x[k]).alias(k) for k in "spr"], *[v.alias(k) for k, v in of.items()])
+
+        return let(F.array_intersect(x["s"], x["p"]), counted)
+
+    def parts(n: Column) -> Column:
+        kept = _part(n["sp"], n["sr"], n["spr"])
+        added = _part(n["p"] - n["sp"], n["r"] - n["sr"], n["pr"] - n["spr"])
+        dropped = _part(n["s"] - n["sp"], n["s"] - n["sr"], n["s"] - n["sp"] - n["sr"] + n["spr"])
+        return kept + added + dropped
 
-    return let(sets, parts)
+    return let(sets, lambda x: let(sizes(x), parts))
 
 
 def simplification(source: Column, prediction: Column, reference: Column) -> Column:

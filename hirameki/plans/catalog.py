@@ -99,10 +99,11 @@ def shard_filter(spark, sf_dir):
 def shard_merge_sorted(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).alias("key"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("image_id"))
     merged = dataset.merged([dataset.shard(rows, "id", 4, k).withColumn("index", F.col("id")) for k in range(4)], sort_key="id")
-    # the place in the whole order, of the sorted runs of each key: counts before a key, and ranks within
-    before = merged.groupBy("key").count().select("key", (F.sum("count").over(Window.orderBy("key")) - F.col("count")).alias("before"))
-    ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")))
-    return ranked.join(F.broadcast(before), "key").select("id", "image_id", (F.col("before") + F.col("rank")).alias("place"))
+    # the place in the whole order: counts of the runs before (of one key and some ids in a row), and the rank in the run
+    merged = merged.withColumn("run", F.floor(F.col("id") / 10_000))
+    before = merged.groupBy("key", "run").count().select("key", "run", (F.sum("count").over(Window.orderBy("key", "run")) - F.col("count")).alias("before"))
+    ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("key", "run").orderBy("id")))
+    return ranked.join(before, ["key", "run"]).select("id", "image_id", (F.col("before") + F.col("rank")).alias("place"))
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderkey LIMIT 100")
@@ -119,20 +120,21 @@ def whitespace_normalize(spark, sf_dir):
     return rows.select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("hash"))
 
 
-KANA = ["カタカナーヶヷ", "ひらがな", "ァヴヵ", "", "テスト123"]
+#: Texts with kana, kanji and gloss made from part names and keys, as the tables hold none.
+KANA_FROM, KANA_TO = "aeioubcdfg", "アェヴヵヶーガパン日"
 
 
-@query(f"SELECT t, translate(t, '{T.KATAKANA}', '{T.HIRAGANA}') AS kana FROM (VALUES {listed(KANA)}) AS v(t)")
+@query(f"SELECT p_partkey, t, translate(t, '{T.KATAKANA}', '{T.HIRAGANA}') AS kana FROM (SELECT p_partkey, translate(p_name, '{KANA_FROM}', '{KANA_TO}') AS t FROM part)")
 def kata_to_hira(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in KANA], "t string").select("t", T.to_hiragana(F.col("t")).alias("kana"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.translate("p_name", KANA_FROM, KANA_TO).alias("t"))
+    return rows.select("p_partkey", "t", T.to_hiragana(F.col("t")).alias("kana"))
 
 
-GLOSSES = ["a-b", "-b", "a-", "a", "", "a-b-c", "ペン-pen"]
-
-
-@query(f"SELECT t, CASE WHEN instr(t, '-') > 1 AND instr(t, '-') < length(t) THEN split_part(t, '-', 1) ELSE t END AS head FROM (VALUES {listed(GLOSSES)}) AS v(t)")
+@query("SELECT p_partkey, t, CASE WHEN instr(t, '-') > 1 AND instr(t, '-') < length(t) THEN split_part(t, '-', 1) ELSE t END AS head FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN '-' || p_name ELSE replace(p_name, ' ', '') || '-' END AS t FROM part)")
 def strip_gloss(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in GLOSSES], "t string").select("t", T.without_gloss(F.col("t")).alias("head"))
+    name, turn = F.col("p_name"), F.col("p_partkey") % 3
+    made = F.when(turn == 0, F.replace(name, F.lit(" "), F.lit("-"))).when(turn == 1, F.concat(F.lit("-"), name)).otherwise(F.concat(F.replace(name, F.lit(" "), F.lit("")), F.lit("-")))
+    return table(spark, sf_dir, "part").select("p_partkey", made.alias("t")).select("p_partkey", "t", T.without_gloss(F.col("t")).alias("head"))
 
 
 LATIN = ["abc", "ABC", "ＡＢｃ", "", "a1", "犬", "a b", "n_name"]
@@ -144,13 +146,21 @@ def latin_token(spark, sf_dir):
     return rows.select("t", T.is_latin(F.col("t")).alias("latin"))
 
 
-#: Kanji texts and their numbers, worked out by hand from the rules.
-NUMBERS = {"万": 10000, "一二": 2, "一九八〇": 0, "三億二千万": 320000000, "犬": None, "": None, "十": 10, "二十五": 25, "百万": 1000000, "千二百三": 1203, "億万": 100010000, "零": 0, "二犬": None}
+#: What the digits of order keys stand for, so that keys become numbers in kanji, some of them none.
+KANJI = "十一二百三四千万億犬"
 
 
-@query("SELECT t, CAST(n AS BIGINT) AS n FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if v is None else v})" for k, v in NUMBERS.items()) + ") AS v(t, n)")
+@query(f"""WITH RECURSIVE made AS (SELECT o_orderkey, translate(o_orderkey::VARCHAR, '0123456789', '{KANJI}') AS t FROM orders),
+    walk AS (SELECT DISTINCT t, 0 AS k, 0::BIGINT AS total, 0::BIGINT AS section, 0::BIGINT AS number FROM made WHERE NOT contains(t, '犬')
+      UNION ALL SELECT t, k + 1,
+        CASE WHEN c IN ('万', '億') THEN total + (CASE WHEN section + number = 0 THEN 1 ELSE section + number END) * (CASE c WHEN '万' THEN 10000 ELSE 100000000 END) ELSE total END,
+        CASE WHEN c IN ('十', '百', '千') THEN section + (CASE WHEN number = 0 THEN 1 ELSE number END) * (CASE c WHEN '十' THEN 10 WHEN '百' THEN 100 ELSE 1000 END) WHEN c IN ('万', '億') THEN 0 ELSE section END,
+        CASE c WHEN '一' THEN 1 WHEN '二' THEN 2 WHEN '三' THEN 3 WHEN '四' THEN 4 ELSE 0 END
+        FROM (SELECT *, substring(t, k + 1, 1) AS c FROM walk WHERE k < length(t)))
+    SELECT o_orderkey, made.t, total + section + number AS n FROM made LEFT JOIN walk ON walk.t = made.t AND k = length(made.t)""")
 def kanji_to_int(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in NUMBERS], "t string").select("t", T.kanji_number(F.col("t")).alias("n"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.translate(F.col("o_orderkey").cast("string"), "0123456789", KANJI).alias("t"))
+    return rows.select("o_orderkey", "t", T.kanji_number(F.col("t")).alias("n"))
 
 
 # Vocabulary
@@ -233,6 +243,33 @@ def coverage_summary(spark, sf_dir):
     return coverage.coverage_summary(coverage.frequencies(table(spark, sf_dir, "conversations"), words), known)
 
 
+WORDS = "list_filter(string_split(p_name, ' '), lambda x: x <> '')"
+TILE = f"(?:{'|'.join(TOKENS)})*"
+
+
+@query(f"""WITH RECURSIVE tokens AS (SELECT * FROM (VALUES {listed(TOKENS)}) AS v(token)), w AS (SELECT p_partkey, unnest({WORDS}) AS t FROM part),
+    names AS (SELECT DISTINCT t FROM w WHERE t NOT IN (SELECT token FROM tokens) AND regexp_full_match(t, '{TILE}')),
+    walk AS (SELECT t, 0 AS k, [{{'n': 0, 'out': []::VARCHAR[]}}] AS states FROM names
+      UNION ALL SELECT t, k + 1, list_append(states, (
+        SELECT {{'n': states[k + 2 - length(token)].n + 1, 'out': list_append(states[k + 2 - length(token)].out, token)}} FROM tokens
+        WHERE length(token) <= k + 1 AND substring(t, k + 2 - length(token), length(token)) = token AND states[k + 2 - length(token)] IS NOT NULL
+        ORDER BY CASE WHEN k + 1 = length(t) THEN 0 ELSE states[k + 2 - length(token)].n END, length(token) DESC LIMIT 1)) FROM walk WHERE k < length(t)),
+    cut AS (SELECT p_partkey, unnest(coalesce(states[k + 1].out, [w.t])) AS t FROM w LEFT JOIN walk ON walk.t = w.t AND k = length(w.t)),
+    o AS (SELECT DISTINCT p_partkey FROM cut WHERE t NOT IN (SELECT token FROM tokens))
+    SELECT (SELECT count(*) FROM part) AS total_captions, count(*) AS total_tokens, count(DISTINCT t) AS unique_tokens, (SELECT count(*) FROM o) AS captions_with_outside_tokens,
+      (SELECT count(*) FROM o) / (SELECT count(*) FROM part) AS captions_with_outside_tokens_rate FROM cut""")
+def segmented_token_stats(spark, sf_dir):
+    words = F.filter(F.split("p_name", " "), lambda w: w != "")
+    known = spark.createDataFrame([(t,) for t in TOKENS], "token string")
+    return coverage.token_stats(table(spark, sf_dir, "part"), coverage.segmented(words, VOCABULARY), known)
+
+
+@query(f"SELECT t AS token, count(*) AS count FROM (SELECT unnest({WORDS}) AS t FROM part WHERE NOT {TILED}) WHERE NOT regexp_full_match(t, '{TILE}') GROUP BY t")
+def outside_tokens_of_failed(spark, sf_dir):
+    failed = coverage.sides(table(spark, sf_dir, "part"), coverage.verdict(F.col("p_name"), VOCABULARY))[1]
+    return coverage.frequencies(failed, coverage.outside_of_failed(F.split("p_name", " "), VOCABULARY))
+
+
 # Selection and merging
 
 
@@ -304,15 +341,13 @@ def sari_sql(tokens: str) -> str:
     for n in range(1, 5):
         s, p, r = f"s{n}", f"p{n}", f"r{n}"
 
-        def less(a, b):
-            return f"list_filter({a}, lambda y: NOT list_contains({b}, y))"
-
-        def both(a, b):
-            return f"list_filter({a}, lambda z: list_contains({b}, z))"
+        def both(*sets):
+            inner = sets[0] if len(sets) == 1 else f"list_intersect({sets[0]}, {sets[1]})"
+            return f"len({inner if len(sets) < 3 else f'list_intersect({inner}, {sets[2]})'})"
 
-        for mine, theirs in ((both(s, p), both(s, r)), (less(p, s), less(r, s)), (less(s, p), less(s, r))):
-            shared = f"len({both(mine, theirs)})"
-            a, b = f"({shared} / greatest(1, len({mine})))", f"({shared} / greatest(1, len({theirs})))"
+        sp, sr, pr, spr = both(s, p), both(s, r), both(p, r), both(s, p, r)
+        for mine, theirs, shared in ((sp, sr, spr), (f"({both(p)} - {sp})", f"({both(r)} - {sr})", f"({pr} - {spr})"), (f"({both(s)} - {sp})", f"({both(s)} - {sr})", f"({both(s)} - {sp} - {sr} + {spr})")):
+            a, b = f"({shared} / greatest(1, {mine}))", f"({shared} / greatest(1, {theirs}))"
             parts.append(f"CASE WHEN {shared} = 0 THEN 0 ELSE 2 * {a} * {b} / ({a} + {b}) END")
     score = f"CASE WHEN len(s) = 0 OR len(p) = 0 OR len(r) = 0 THEN 0 ELSE ({' + '.join(parts)}) / 12 END"
     return f"WITH {PAIRS}, t AS (SELECT {', '.join(f'{v} AS {k}' for k, v in cut.items())} FROM pairs WHERE target IS NOT NULL), g AS (SELECT s, p, r, {grams} FROM t) SELECT count(*) AS rows, round(avg({score}), 9) AS sari FROM g"
@@ -324,7 +359,7 @@ def mean_sari(spark, sf_dir, tokenizer):
     return rows.agg(F.count("*").alias("rows"), F.round(F.avg(score), 9).alias("sari"))
 
 
-@query()
+@query(sari_sql("list_transform(range(1, length(x.) + 1), lambda i: substring(x., i, 1))"))
 def sari_char(spark, sf_dir):
     return mean_sari(spark, sf_dir, "char")
 
@@ -345,7 +380,15 @@ def bleu_corpus(spark, sf_dir):
     return metrics.bleu(rows, "p", "r").select(F.round("bleu", 9).alias("bleu"))
 
 
-@query()
+#: One step per token of the prediction; the row of the table has, for each token of the target, the longest so far.
+COMMON = r"""tokens AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(prediction), '[^a-z0-9]+'), lambda w: w <> '') AS p, list_filter(string_split_regex(lower(target), '[^a-z0-9]+'), lambda w: w <> '') AS r FROM pairs WHERE target IS NOT NULL),
+    walk AS (SELECT conv_id, turn, p, r, 0 AS k, list_transform(r, lambda x: 0) AS longest FROM tokens
+      UNION ALL SELECT conv_id, turn, p, r, k + 1, list_transform(range(1, len(r) + 1), lambda j: greatest(longest[j], list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN r[i] = p[k + 1] THEN 1 + CASE WHEN i = 1 THEN 0 ELSE longest[i - 1] END ELSE 0 END))))
+        FROM walk WHERE k < len(p)),
+    common AS (SELECT conv_id, turn, len(p) AS np, len(r) AS nr, coalesce(list_max(longest), 0) AS n FROM walk WHERE k = len(p))"""
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {COMMON} SELECT conv_id, turn, round(CASE WHEN n = 0 THEN 0 ELSE 2 * (n / np) * (n / nr) / (n / np + n / nr) END, 9) AS rouge_l FROM common")
 def rouge_l(spark, sf_dir):
     return complete(spark, sf_dir).select("conv_id", "turn", F.round(metrics.rouge_l(F.col("prediction"), F.col("target")), 9).alias("rouge_l"))
 
@@ -381,7 +424,22 @@ def percentile_thresholds(spark, sf_dir):
     return found.select("event_type", F.round(F.col("m")["0.95"], 9).alias("p95"), F.round(F.col("m")["0.99"], 9).alias("p99"), "p0", "p100")
 
 
-NEXT = "lead(embedding) OVER (ORDER BY vec_id)"
+@query("""SELECT l_orderkey, round(sum(l_quantity * (l_linenumber % 2)) / greatest(sum(l_linenumber % 2), 1e-9), 6) AS a, round(sum(l_tax * (l_linenumber % 2)) / greatest(sum(l_linenumber % 2), 1e-9), 6) AS b FROM lineitem GROUP BY l_orderkey""")
+def pooled_vectors(spark, sf_dir):
+    each = F.struct("l_linenumber", F.array(F.col("l_quantity").cast("double"), F.col("l_tax").cast("double")).alias("v"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(each)).alias("x"))  # an order has few lines
+    mean = scores.masked_mean(F.col("x.v"), F.transform("x.l_linenumber", lambda n: n % 2))
+    return rows.select("l_orderkey", mean.alias("m")).select("l_orderkey", (F.round(F.col("m")[0], 6) + F.lit(0.0)).alias("a"), (F.round(F.col("m")[1], 6) + F.lit(0.0)).alias("b"))
+
+
+@query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_tax, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, -l_tax) AS r FROM lineitem),
+    s AS (SELECT *, min(CASE WHEN l_linenumber % 3 = 0 THEN r END) OVER (PARTITION BY l_orderkey) AS stop FROM n)
+    SELECT l_orderkey, round(-sum(CASE WHEN stop IS NULL OR r <= stop THEN l_tax ELSE 0 END), 6) + 0 AS logprob FROM s GROUP BY l_orderkey""")
+def sequence_logprobs(spark, sf_dir):
+    each = F.struct("l_linenumber", (-F.col("l_tax").cast("double")).alias("p"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(each)).alias("x"))
+    ids = F.concat(F.array(F.lit(0)), F.transform("x.l_linenumber", lambda n: (n % 3).cast("int")))  # the start, then ids of which 0 is the end
+    return rows.select("l_orderkey", (F.round(scores.sequence_logprob(F.col("x.p"), ids, 0), 6) + F.lit(0.0)).alias("logprob"))
 
 
 @query("""SELECT a.vec_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 9) AS similarity
@@ -480,38 +538,41 @@ def early_stop_step(spark, sf_dir):
     return training.early_stop(logs(spark, sf_dir))
 
 
-# Morphology on rows worked out by hand
+# Morphology: morphemes made from part names and keys, and rows worked out by hand
 
 
 def morpheme(**given):
     return tuple(given.get(f) for f in M.FIELDS)
 
 
-MORPHEMES = [
-    (1, morpheme(surface="走っ", lemma="走る", kanaBase="ハシル"), "走る", "はしる"),
-    (2, morpheme(surface="ペン", lemma="ペン-pen"), "ペン-pen", None),
-    (3, morpheme(surface="X", lemma="*", dictionary_form="", orthBase="y", kanaBase="*", pronBase="ピ", kana="カ"), "y", "か"),
-    (4, morpheme(surface="猫", pronBase="ネコ"), "猫", "ねこ"),
-    (5, morpheme(surface="", lemma=None), "", None),
-]
+def quoted(x):
+    return "NULL" if x is None else f"'{x}'"
 
 
-def morpheme_rows(spark):
-    return spark.createDataFrame([(i, m) for i, m, _, _ in MORPHEMES], f"id int, m {M.MORPHEME}")
+def made_morphemes(spark, sf_dir):
+    """p_partkey and m: fields that are, by the key, null, empty, a star, or the name in kana."""
+    key, name = F.col("p_partkey"), F.translate("p_name", KANA_FROM, KANA_TO)
 
+    def field(n: int) -> F.Column:
+        turn = F.floor(key / n) % 4
+        return F.when(turn == 0, F.lit("")).when(turn == 1, F.lit("*")).when(turn == 2, F.concat(name, F.lit(f"{n}")))
 
-def quoted(x):
-    return "NULL" if x is None else f"'{x}'"
+    given = {"surface": F.col("p_name"), "lemma": field(1), "dictionary_form": field(4), "orthBase": field(16), "kanaBase": field(1), "pronBase": field(4), "kana": field(16), "pron": field(64)}
+    return table(spark, sf_dir, "part").select("p_partkey", F.struct(*[given.get(f, F.lit(None).cast("string")).alias(f) for f in M.FIELDS]).alias("m"))
+
+
+def made_sql(n: int) -> str:
+    return f"CASE p_partkey // {n} % 4 WHEN 0 THEN '' WHEN 1 THEN '*' WHEN 2 THEN translate(p_name, '{KANA_FROM}', '{KANA_TO}') || '{n}' END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(b)})" for i, _, b, _ in MORPHEMES) + ") AS v(id, base)")
+@query(f"SELECT p_partkey, coalesce({', '.join(f"nullif(nullif({made_sql(n)}, ''), '*')" for n in (1, 4, 16))}, p_name) AS base FROM part")
 def base_form(spark, sf_dir):
-    return morpheme_rows(spark).select("id", M.base_form(F.col("m")).alias("base"))
+    return made_morphemes(spark, sf_dir).select("p_partkey", M.base_form(F.col("m")).alias("base"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(k)})" for i, _, _, k in MORPHEMES) + ") AS v(id, kana)")
+@query(f"SELECT p_partkey, translate(coalesce(nullif(coalesce(nullif({made_sql(1)}, ''), nullif({made_sql(4)}, '')), '*'), nullif(coalesce(nullif({made_sql(16)}, ''), nullif({made_sql(64)}, '')), '*')), '{T.KATAKANA}', '{T.HIRAGANA}') AS kana FROM part")
 def kana_base(spark, sf_dir):
-    return morpheme_rows(spark).select("id", M.kana_base(F.col("m")).alias("kana"))
+    return made_morphemes(spark, sf_dir).select("p_partkey", M.kana_base(F.col("m")).alias("kana"))
 
 
 #: Verbs, following surface, and what both become.

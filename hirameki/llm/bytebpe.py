@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begins, blocks, overlaid, tidied
+from .common import begins, blocks, filled, overlaid, tidied
 from .encoders import Flat, Numbers, Pieces, gathered
 
 #: Stands for a pair that doesn't merge: after all ranks.
@@ -207,7 +207,7 @@ def encoding(path: str, pattern: str):
         import regex
 
         compiled = regex.compile(pattern)
-        for batch in blocks(batches, block_bytes=REPLAY_BYTES):
+        for batch in filled(batches, "text", REPLAY_BYTES):
             encoded = loaded(Ranks, path).encode(batch.column("text"), compiled)
             for i in range(0, batch.num_rows, 1000):  # ids of some MB at a time
                 n = encoded.lengths[i : i + 1000]

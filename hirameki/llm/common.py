@@ -150,6 +150,24 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", block_bytes:
             at = to
 
 
+def filled(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """blocks() of batches that are joined first: each but the last holds about block_bytes of text."""
+    waiting, size = [], 0
+    for batch in batches:
+        mine = int(pc.sum(pc.binary_length(batch.column(column))).as_py() or 0)
+        if waiting and size + mine > block_bytes:
+            yield from blocks([_joined(waiting)], column, block_bytes)
+            waiting, size = [], 0
+        waiting.append(batch)
+        size += mine
+    if waiting:
+        yield from blocks([_joined(waiting)], column, block_bytes)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after the other, and where each begins and the last ends."""
     texts = pc.fill_null(column.cast(pa.large_string()), "") if column.null_count else column.cast(pa.large_string())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import blocks, tidied
+from .common import filled, tidied
 from .encoders import ENCODED_BYTES, encoder
 
 PLACED_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
@@ -114,7 +114,7 @@ def packing(path: str, rule: str, end_id: int, tokens: int, segments: int, loss:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(path, rule).encode, Packer(tokens, segments, loss)
         first = TaskContext.get().partitionId() << 40
-        for batch in blocks(batches, block_bytes=ENCODED_BYTES):
+        for batch in filled(batches, "text", ENCODED_BYTES):
             doc_ids, encoded = batch.column("doc_id").to_pylist(), encode(batch.column("text"))
             if has_loss:
                 froms = batch.column("loss_from").to_pylist()

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, n_buckets, tidied
+from .common import filled, n_buckets, tidied
 from .encoders import ENCODED_BYTES, encoder
 
 FILE_DDL = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -41,7 +41,7 @@ def encoding(path: str, rule: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
-        for batch in blocks(batches, block_bytes=ENCODED_BYTES):
+        for batch in filled(batches, "text", ENCODED_BYTES):
             encoded = encoder(path, rule).encode(batch.column("text"))
             lengths = encoded.lengths + 1
             ends = np.cumsum(lengths)

@@ -102,12 +102,12 @@ def packed(entries: np.ndarray, ords: np.ndarray, keys: np.ndarray, later: np.nd
     yield from asked_rows(e[ask], ords, keys, bucket[ask])
 
 
-def questions(lengths: list[int], level: int, buckets: int):
-    """mapInArrow function: text (and answers of the level before) to rows of ASKED."""
+def questions(lengths: list[int], level: int, buckets: int, text: int | None = None):
+    """mapInArrow function: text (and answers of the level before) to rows of ASKED. text: its place in a struct `row`."""
     window, length, last = lengths[-1], lengths[level], level == len(lengths) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(batches if text is None else with_text(batches, text)):
             block, n = Block(batch.column("text")), batch.num_rows
             ords, keys = batch.column("ord").to_numpy(), batch.column("key").to_numpy()
             at = block.windows(window)
@@ -215,15 +215,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     lengths = levels(window, start)
     rows = ordered(docs, text, doc_id)
-    keyed, found = rows.select("ord", "key", "text"), None
+    # every join takes the same columns of the documents, so that they are shuffled once and that exchange is used again
+    whole, found, place = rows.select("ord", "key", "row"), None, docs.columns.index(text)
     buckets = n_buckets(docs, bucket_mb)
     for level in range(len(lengths)):
-        asking = keyed if found is None else keyed.join(found, ["ord", "key"])
-        asked = asking.mapInArrow(tidied(questions(lengths, level, buckets)), ASKED_DDL)
+        if found is None:
+            asked = rows.select("ord", "key", "text").mapInArrow(tidied(questions(lengths, level, buckets)), ASKED_DDL)
+        else:
+            asked = whole.join(found, ["ord", "key"]).mapInArrow(tidied(questions(lengths, level, buckets, place)), ASKED_DDL)
         answered = asked.repartition(buckets, "bucket").mapInArrow(tidied(answers(level == len(lengths) - 1, buckets)), ANSWERED_DDL)
         found = answered.repartition(buckets, "bucket").mapInArrow(tidied(gathered), GATHERED_DDL)
-    joined = rows.drop("text").join(found, ["ord", "key"], "left").select("row", "answers")
+    joined = whole.join(found, ["ord", "key"], "left").select("row", "answers")
     schema = joined.select("row").schema.add("kept", "string").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
-    out = joined.mapInArrow(tidied(kept_rows(window, docs.columns.index(text))), schema)
+    out = joined.mapInArrow(tidied(kept_rows(window, place)), schema)
     new = {text: F.when(F.col(f"row.`{text}`").isNotNull(), F.col("kept")), "n_words": F.col("n_words"), "n_removed": F.col("n_removed"), "kept_sha256": F.col("kept_sha256")}
     return overlaid(out, "row", docs.columns, new)

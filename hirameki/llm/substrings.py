@@ -206,7 +206,7 @@ def kept_rows(window: int, text: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 20, start: int = 10, bucket_mb: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 20, start: int = 5, bucket_mb: int = 64) -> DataFrame:
     """Removes from docs each word in a window of words that also begins earlier (smaller doc_id, or same row, earlier place).
 
     Returns the columns of docs, the text as it is left (untouched where nothing was removed, else the stretches left,

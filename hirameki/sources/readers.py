@@ -23,23 +23,41 @@ SAMPLES = "index BIGINT, id BIGINT, image_id BIGINT, source STRING, candidates A
 FAILURES = "index BIGINT, id BIGINT, image_id BIGINT, caption STRING, missing_tokens ARRAY<STRING>"
 
 
-def _document(spark: SparkSession, path: str) -> DataFrame:
-    found = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path)
-    if found.where(F.expr("schema_of_variant(variant_get(v, '$.annotations')) LIKE 'ARRAY%'")).isEmpty():
-        raise DataContractError(f"{path} has no list `annotations`")
-    return found
+def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON document's named keys; what can't be read is an error that says why."""
+    return spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
+
+
+def _reason(e: Exception) -> str:
+    lines = [x.strip() for x in str(e).split("\n") if x.strip()]
+    return next((x for x in lines if "MALFORMED" in x or "too large" in x.lower() or "SIZE_LIMIT" in x), lines[0] if lines else type(e).__name__)
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """index (place in the list) and ann (VARIANT: an open row, in which a null and an absent key differ)."""
-    _document(spark, path).createOrReplaceTempView("_annotation_document")
-    return spark.sql("SELECT e.pos AS index, e.value AS ann FROM _annotation_document, LATERAL variant_explode(variant_get(v, '$.annotations')) AS e")
+    """index (place in the list) and ann (VARIANT: an open row, in which a null and an absent key differ).
+
+    Each annotation is a value of its own, so the limit on a VARIANT's size is one for annotations, not for documents; a
+    document is read by one task, as JSON can't be split.
+    """
+    found = _document(spark, path, "annotations ARRAY<VARIANT>")
+    try:
+        lacking = found.where("annotations IS NOT NULL").isEmpty()
+    except Exception as e:
+        raise DataContractError(f"{path} can't be read as a document with a list `annotations`: {_reason(e)}") from e
+    if lacking:
+        raise DataContractError(f"{path} has no list `annotations`")
+    return found.select(F.posexplode("annotations").alias("index", "ann"))
 
 
 def root_metadata(spark: SparkSession, path: str) -> DataFrame:
     """key and value (VARIANT) of the document's other keys."""
-    _document(spark, path).createOrReplaceTempView("_annotation_root")
-    return spark.sql("SELECT e.key, e.value FROM _annotation_root, LATERAL variant_explode(v) AS e WHERE e.key <> 'annotations'")
+    text = spark.read.text(path, wholetext=True)
+    names = [k for r in text.select(F.map_keys(F.from_json("value", "map<string,string>")).alias("k")).collect() for k in r["k"] or () if k != "annotations"]  # of one document
+    if not names:
+        return spark.createDataFrame([], "key string, value variant")
+    quoted = [f"`{k.replace('`', '``')}`" for k in names]
+    found = _document(spark, path, ", ".join(f"{q} VARIANT" for q in quoted))
+    return found.select(F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in names]), F.array(*[F.col(q) for q in quoted]))).alias("key", "value"))
 
 
 def has_field(field: str, ann: str = "ann"):

@@ -2,6 +2,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from hirameki import sources as S
 from hirameki.errors import DataContractError
@@ -113,3 +114,21 @@ def test_stream_gives_the_same_as_the_batch(spark, tmp_path):
     job = stream.writeStream.format("memory").queryName("checked_captions").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     job.awaitTermination()
     assert sorted(tuple(r) for r in spark.table("checked_captions").collect()) == [(0, True, None), (1, False, ["x"])]
+
+
+def test_a_large_document(spark, tmp_path):
+    """Larger than one VARIANT may be."""
+    row = json.dumps({"id": 1, "caption": "c" * 300, "score": 1.25, "none": None})
+    n = 150_000_000 // len(row)
+    with open(tmp_path / "large.json", "w") as f:
+        f.write('{"info": {"v": 1}, "annotations": [' + row)
+        for _ in range(n - 1):
+            f.write("," + row)
+        f.write('], "tail": "t"}')
+    rows = S.annotations(spark, str(tmp_path / "large.json"))
+    got = rows.agg(F.count("*").alias("n"), F.max("index").alias("last"), F.sum(F.expr("variant_get(ann, '$.score', 'double')")).alias("s")).first()
+    assert (got["n"], got["last"], got["s"]) == (n, n - 1, 1.25 * n)
+    assert {r["key"]: r["value"].toPython() for r in S.root_metadata(spark, str(tmp_path / "large.json")).collect()} == {"info": {"v": 1}, "tail": "t"}
+    (tmp_path / "bad.json").write_text('{"annotations": [{"id": 1}, {"id": ')
+    with pytest.raises(DataContractError, match="can't be read"):
+        S.annotations(spark, str(tmp_path / "bad.json"))

@@ -2,6 +2,10 @@
 
 Documents that the quality rules reject go; then repeated lines, all but one document of each near-duplicate class,
 and repeated passages; what is left is packed into sequences. Every stage but the last returns the columns of documents.
+
+Nulls: a null or empty text has no words, so the first stage drops it; a null doc_id comes after all numbers. Of equal
+rows near-dedup keeps one. Ties go to the smaller doc_id, then to the smaller hash of the text. Texts of any length are
+read whole. Columns whose names the operators use as well stay as they are. An empty table gives no sequences.
 """
 
 from __future__ import annotations

@@ -165,3 +165,17 @@ def test_verb_classes(spark):
     df = spark.createDataFrame(rows, f"l string, a array<{morphology.MORPHEME}>, want string")
     got = df.select("want", F.when(F.col("a").isNull(), morphology.verb_class(F.col("l"))).otherwise(morphology.verb_class(F.col("l"), F.col("a"))).alias("x")).collect()
     assert [r["x"] for r in got] == [r["want"] for r in got]
+
+
+def test_long_captions_take_linear_time(spark):
+    import random
+    import time
+
+    v, t = Vocabulary(["ab", "abc", "cb", "a", "ccc"]), "".join(random.Random(1).choices("abcd", k=60_000))
+    tiled = "abcaab" * 10_000
+    df = spark.createDataFrame([(t, tiled)], "t string, u string")
+    began = time.time()
+    row = df.select(covered(F.col("t"), v).alias("c"), uncovered_runs(F.col("t"), v).alias("r"), segments(F.col("t"), v).alias("s"), covered(F.col("u"), v).alias("d"), segments(F.col("u"), v).alias("w")).first()
+    assert time.time() - began < 60
+    assert (row["c"], row["s"], row["d"]) == (False, None, True) and "".join(row["w"]) == tiled and set(row["w"]) <= {"ab", "abc", "a"}
+    assert 0 < sum(map(len, row["r"])) <= len(t) and all(x in t for x in row["r"])

@@ -24,7 +24,6 @@ from hirameki.functions import morphology as M
 from hirameki.functions.vocabulary import Vocabulary
 from hirameki.operators import coverage, dataset, generation, review, selection, training
 
-FIELDS = "id BIGINT, image_id BIGINT, caption STRING, source_caption STRING, caption_replaced STRING, reviewed BOOLEAN, missing_tokens ARRAY<STRING>"
 
 
 def named(name: str) -> Callable[[], Any]:
@@ -210,14 +209,20 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     print(json.dumps({k: found[v] for k, v in names.items()} | {"bleu": score_}))
 
 
+def merged_fields(spark: SparkSession, path: str) -> DataFrame:
+    """What a review merges, with _place: an annotation document (.json), JSON lines (.jsonl) or Parquet."""
+    if path.endswith(".json"):
+        return review.opened(sources.annotations(spark, path), whole=False).withColumnRenamed("index", "_place")
+    rows = spark.read.json(path) if path.endswith(".jsonl") else spark.read.parquet(path)
+    return rows.drop("ann", "index").withColumn("_place", F.monotonically_increasing_id())
+
+
 def serve(spark: SparkSession, a: argparse.Namespace) -> None:
     from hirameki.review_server import ReviewStore, server
 
-    rows = sources.annotations(spark, a.input_json)
-    base = rows.select("index", *[F.expr(f"try_variant_get(ann, '$.{f.split()[0]}', '{f.split()[1].lower()}')").alias(f.split()[0]) for f in FIELDS.split(", ")])
+    base = review.opened(sources.annotations(spark, a.input_json))
     for path in a.scores or []:
-        scores = spark.read.json(path) if path.endswith(("json", "jsonl")) else spark.read.parquet(path)
-        base = review.merge_scores(base, scores.withColumn("_place", F.monotonically_increasing_id()), "_place")
+        base = review.merge_scores(base, merged_fields(spark, path), "_place")
     for path in a.failures or []:
         base = review.attach_missing(base, sources.failures(spark, path).withColumn("_place", F.monotonically_increasing_id()), "_place")
     found = server(ReviewStore(base, root_of(spark, a.input_json), a.output_json, a.page_size), a.host, a.port)

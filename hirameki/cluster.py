@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
+import uuid
+from contextlib import suppress
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -27,3 +30,31 @@ def ship(spark: SparkSession) -> None:
         folder = tempfile.mkdtemp(prefix="package-")
         context._shipped_package = shutil.make_archive(f"{folder}/{top.name}", "zip", top.parent, top.name)
         context.addPyFile(context._shipped_package)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; in a local session without one, a temporary folder."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="checkpoints-")
+    spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
+def workspace(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def remove() -> None:
+        with suppress(Exception):  # the session may have ended before
+            files.delete(at, True)
+
+    atexit.register(remove)
+    return path

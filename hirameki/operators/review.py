@@ -2,12 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, MapType, StructType
 
 #: Fields that a merged file only fills where the base lacks them, and those that it never touches.
 BASE_FIELDS, KEYS = ("id", "image_id", "caption", "source_caption", "caption_replaced", "reviewed"), ("id", "image_id")
 
+#: What the known fields of an annotation are read as.
+KNOWN = {"id": "bigint", "image_id": "bigint", "caption": "string", "source_caption": "string", "caption_replaced": "string", "reviewed": "boolean", "missing_tokens": "array<string>"}
+
+
+def field_of(ann: Column, name: str, kind: str) -> Column:
+    quote = '"' if "'" in name else "'"
+    return F.try_variant_get(ann, f"$[{quote}{name}{quote}]", kind)
+
+
+def opened(rows: DataFrame, whole: bool = True) -> DataFrame:
+    """index, ann (VARIANT), and a column for each field that any row has: known ones by their type, others as numbers if all are, else as text.
+
+    Known fields that no row has are null, or left out (not whole).
+    """
+    numeric = F.bool_and(F.expr("schema_of_variant(value) RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT|VOID)'"))
+    found = rows.select(F.explode(F.expr("try_cast(ann AS map<string, variant>)"))).groupBy("key").agg(numeric.alias("n")).collect()  # names of fields
+    others = {r["key"]: "double" if r["n"] else "string" for r in found if r["key"] not in (*KNOWN, "index", "ann", "_edited")}
+    kinds = {k: v for k, v in KNOWN.items() if whole or k in {r["key"] for r in found}} | dict(sorted(others.items()))
+    return rows.select("index", "ann", *[field_of(F.col("ann"), k, v).alias(k) for k, v in kinds.items()])
+
+
+def as_variant(value: Column, kind: DataType) -> Column:
+    return F.coalesce(F.to_variant_object(value) if isinstance(kind, StructType | MapType) else value.cast("variant"), F.parse_json(F.lit("null")))
+
+
+def saved(rows: DataFrame) -> DataFrame:
+    """index, and ann with the columns that have another value than it holds; all else in ann stays as it is, an absent key absent."""
+    entries = []
+    for f in rows.schema.fields:
+        if f.name not in ("index", "ann", "_edited"):
+            value, old = F.col(f"`{f.name}`"), field_of(F.col("ann"), f.name, f.dataType.simpleString())
+            entries.append(F.when(~value.eqNullSafe(old), F.struct(F.lit(f.name).alias("key"), as_variant(value, f.dataType).alias("value"))))
+    new = F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull()))
+    changed = rows.select("index", "ann", new.alias("new"))
+    kept = F.map_filter(F.expr("cast(ann AS map<string, variant>)"), lambda k, _: ~F.array_contains(F.map_keys("new"), k))
+    return changed.select("index", F.when(F.size("new") > 0, F.to_variant_object(F.map_concat(kept, "new"))).otherwise(F.col("ann")).alias("ann"))
+
 
 def last_of(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Of each key its last row."""
@@ -19,21 +57,26 @@ def merge_scores(base: DataFrame, scores: DataFrame, order: str, key: str = "id"
     """base with the fields of scores, by id: base fields only where base has none, others overwritten, also by null.
 
     order: the place of a row in scores; of repeated ids the last counts. Ids that base lacks are ignored. In base,
-    of repeated ids the last row (by index) receives. Call once per file, later files later.
+    of repeated ids the last row (by index) receives. Call once per file, later files later. Where scores has ann (see
+    opened), a row gives only the fields that its ann has.
     """
-    fields = [c for c in scores.columns if c not in (*KEYS, key, order)]
-    theirs = last_of(scores, key, order).select(key, F.lit(True).alias("_met"), *[F.col(f"`{c}`").alias(f"_new_{c}") for c in fields])
+    fields = [c for c in scores.columns if c not in (*KEYS, key, order, "ann", "index")]
+    has = F.map_keys(F.expr("cast(ann AS map<string, variant>)")) if "ann" in scores.columns else F.array(*[F.lit(c) for c in fields]).cast("array<string>")
+    theirs = last_of(scores, key, order).select(key, has.alias("_has"), *[F.col(f"`{c}`").alias(f"_new_{c}") for c in fields])
     receives = F.row_number().over(Window.partitionBy(key).orderBy(F.col("index").desc())) == 1
     joined = base.withColumn("_receives", receives).join(theirs, key, "left")
-    met = F.coalesce(F.col("_met") & F.col("_receives"), F.lit(False))
+
+    def met(c: str) -> Column:
+        return F.coalesce(F.array_contains("_has", c) & F.col("_receives"), F.lit(False))
+
     kept = []
     for c in base.columns:
         if c in fields:
             new = F.col(f"_new_{c}")
-            kept.append((F.when(met & F.col(f"`{c}`").isNull(), new) if c in BASE_FIELDS else F.when(met, new)).otherwise(F.col(f"`{c}`")).alias(c))
+            kept.append((F.when(met(c) & F.col(f"`{c}`").isNull(), new) if c in BASE_FIELDS else F.when(met(c), new)).otherwise(F.col(f"`{c}`")).alias(c))
         else:
             kept.append(F.col(f"`{c}`"))
-    return joined.select(*kept, *[F.when(met, F.col(f"_new_{c}")).alias(c) for c in fields if c not in base.columns])
+    return joined.select(*kept, *[F.when(met(c), F.col(f"_new_{c}")).alias(c) for c in fields if c not in base.columns])
 
 
 def attach_missing(base: DataFrame, failures: DataFrame, order: str, key: str = "id") -> DataFrame:

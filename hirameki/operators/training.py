@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed: the label of a position that bears no loss.
+MASKED = -100
 LOGGED = ("loss", "eval_loss", "learning_rate", "epoch")
 
 
@@ -39,3 +41,8 @@ def early_stop(logs: DataFrame, patience: int = 3) -> DataFrame:
 def kept_checkpoints(checkpoints: DataFrame, keep: int = 2) -> DataFrame:
     """The last of the checkpoints by step."""
     return checkpoints.orderBy(F.col("step").desc()).limit(keep)
+
+
+def unmasked(labels: Column, pad: int) -> Column:
+    """Label ids that can be decoded: masked ones become the padding id."""
+    return F.transform(labels, lambda x: F.when(x == MASKED, F.lit(pad)).otherwise(x))

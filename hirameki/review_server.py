@@ -50,7 +50,7 @@ const move = by => { offset = Math.max(0, offset + by * meta.page_size); show();
 
 
 class ReviewStore:
-    """rows: index, id, caption and others, missing_tokens and reviewed; ids are unique. Edits are a person's, so their log is short."""
+    """rows: index, id, caption and others, missing_tokens and reviewed; ids are unique. With ann (see review.opened) a save keeps its other fields. Edits are a person's, so their log is short."""
 
     def __init__(self, rows: DataFrame, root: dict[str, Any], output: str, page_size: int = 50):
         for name, kind in (("image_id", "long"), ("source_caption", "string"), ("caption_replaced", "string"), ("missing_tokens", "array<string>"), ("reviewed", "boolean")):
@@ -59,7 +59,7 @@ class ReviewStore:
         self.rows, self.root, self.output, self.page_size = rows.cache(), root, output, page_size
         self.log: list[tuple] = []
         self.lock = threading.Lock()
-        self.fields = sorted(c for c in rows.columns if c not in (*review.BASE_FIELDS, "missing_tokens", "_edited", "index"))
+        self.fields = sorted(c for c in rows.columns if c not in (*review.BASE_FIELDS, "missing_tokens", "_edited", "index", "ann"))
 
     def now(self) -> DataFrame:
         with self.lock:
@@ -86,8 +86,11 @@ class ReviewStore:
 
     def save(self) -> None:
         rows = self.now()
-        ann = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in ("index", "_edited")])
-        export_document(rows.select("index", ann.alias("ann")), reviewed_root(self.root), self.output)
+        if "ann" in rows.columns:
+            rows = review.saved(rows)
+        else:
+            rows = rows.select("index", F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in ("index", "_edited")]).alias("ann"))
+        export_document(rows, reviewed_root(self.root), self.output)
 
 
 class Handler(BaseHTTPRequestHandler):

@@ -21,7 +21,7 @@ from hirameki.cluster import ship
 from hirameki.errors import DataContractError
 from hirameki.functions import metrics
 from hirameki.functions import morphology as M
-from hirameki.functions.vocabulary import Vocabulary
+from hirameki.functions.vocabulary import MOST_TOKENS, Tokens, Vocabulary
 from hirameki.operators import coverage, dataset, generation, review, selection, training
 
 
@@ -35,6 +35,14 @@ def tokens_of(spark: SparkSession, path: str) -> Vocabulary:
     return Vocabulary([r["token"] for r in sources.vocabulary(spark, path).limit(60_000).collect()])  # its size is checked
 
 
+def with_vocabulary(rows: DataFrame, path: str, analyzer: str | None) -> tuple[DataFrame, Tokens]:
+    """rows and a vocabulary for them: literals, or the table that too many tokens need (which morphemes don't meet)."""
+    table = sources.vocabulary(rows.sparkSession, path)
+    if analyzer or table.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS:
+        return rows, tokens_of(rows.sparkSession, path)
+    return coverage.with_known(rows, F.col("text"), table)
+
+
 def captions(spark: SparkSession, path: str, field: str = "caption") -> DataFrame:
     """index, id, image_id, text (the field), ann."""
     rows = sources.require_field(sources.annotations(spark, path), field)
@@ -75,8 +83,8 @@ def prepare(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def check(spark: SparkSession, a: argparse.Namespace) -> None:
-    vocabulary = tokens_of(spark, a.tokens)
     rows, morphemes = with_morphemes(captions(spark, a.input_json, a.field), a.analyzer)
+    rows, vocabulary = with_vocabulary(rows, a.tokens, a.analyzer)
     ok = coverage.verdict(F.col("text"), vocabulary, morphemes, a.mode)
     failed = coverage.sides(rows, ok)[1].withColumn("missing_tokens", coverage.missing_tokens(F.col("text"), vocabulary, morphemes))
     if a.failures_output:
@@ -100,8 +108,8 @@ def count(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def split(spark: SparkSession, a: argparse.Namespace) -> None:
-    vocabulary = tokens_of(spark, a.tokens)
     rows, morphemes = with_morphemes(captions(spark, a.input_json, a.target_field), a.analyzer)
+    rows, vocabulary = with_vocabulary(rows, a.tokens, a.analyzer)
     lacks = F.expr(f"variant_get(ann, '$.{a.source_field}', 'string')").isNull() | F.expr(f"variant_get(ann, '$.{a.target_field}', 'string')").isNull()
     passed, failed = coverage.sides(rows, ~lacks & coverage.verdict(F.col("text"), vocabulary, morphemes, a.mode))
     pairs = passed.select(F.expr(f"variant_get(ann, '$.{a.source_field}', 'string')").alias("source"), F.col("text").alias("target"))

@@ -3,7 +3,7 @@
 A fold keeps the last characters and the costs of the last few positions (as many as the longest token has characters),
 and writes down in one letter which token it chose for each position; a second fold walks back over those letters. So no
 position is searched for and no run copied: cost grows with the text's length, but for the string of letters, which
-grows by copying. The vocabulary is a literal set in the plan; its size is checked.
+grows by copying. The vocabulary is a literal set in the plan, whose size is checked, or comes from a table.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ class Vocabulary:
         if not self.tokens:
             raise DataContractError("the vocabulary is empty")
         if len(self.tokens) > MOST_TOKENS:
-            raise DataContractError(f"{len(self.tokens)} tokens; join the vocabulary as a table beyond {MOST_TOKENS}")
+            raise DataContractError(f"{len(self.tokens)} tokens; beyond {MOST_TOKENS} a vocabulary is a table: coverage.with_known")
         by_length = defaultdict(list)
         for t in self.tokens:
             by_length[len(t)].append(t)
@@ -44,18 +44,51 @@ class Vocabulary:
     def longest(self) -> int:
         return max(self.by_length)
 
+    @property
+    def lengths(self) -> list[int]:
+        """From the longest."""
+        return list(self.by_length)
+
     def has(self, text: Column) -> Column:
         return text.isin(list(self.tokens))
 
+    def has_of(self, text: Column, length: int) -> Column:
+        """Whether a text of this length is a token."""
+        return text.isin(self.by_length[length])
+
+
+@dataclass
+class RowVocabulary:
+    """Tokens of a table of any size: a column with those that occur in the row's text, an array for each length (see coverage.with_known).
+
+    A lookup costs as much as the text has distinct tokens of the length, so it is meant for captions and not for books.
+    """
+
+    lengths: list[int]
+    known: Column
+
+    @property
+    def longest(self) -> int:
+        return max(self.lengths)
+
+    def has(self, text: Column) -> Column:
+        return F.exists(self.known, lambda of: F.array_contains(of, text))
+
+    def has_of(self, text: Column, length: int) -> Column:
+        return F.coalesce(F.array_contains(F.get(self.known, self.lengths.index(length)), text), F.lit(False))
+
+
+Tokens = Vocabulary | RowVocabulary
+
 
 #: The letter of an unknown character, and the first of those that stand for tokens, by the place of their length.
 UNKNOWN, FIRST_LETTER = "0", 0x100
 
 
-def _ends(vocabulary: Vocabulary, last: Column):
+def _ends(vocabulary: Tokens, last: Column):
     """For each length, from the longest: whether the last characters end in a token of that length."""
-    for length, tokens in vocabulary.by_length.items():
-        yield length, (F.length(last) >= length) & F.substring(last, -length, length).isin(tokens)
+    for length in vocabulary.lengths:
+        yield length, (F.length(last) >= length) & vocabulary.has_of(F.substring(last, -length, length), length)
 
 
 def _before(states: Column, length: int) -> Column:
@@ -72,7 +105,7 @@ def _grown(last: Column, char: Column, keep: int) -> Column:
     return F.concat(F.substring(last, -(keep - 1), keep - 1) if keep > 1 else F.lit(""), char)
 
 
-def covered(text: Column, vocabulary: Vocabulary) -> Column:
+def covered(text: Column, vocabulary: Tokens) -> Column:
     """Whether tokens tile the text; the empty text is tiled."""
     keep = vocabulary.longest
 
@@ -91,11 +124,11 @@ def covered(text: Column, vocabulary: Vocabulary) -> Column:
     return F.when(text.isNotNull(), F.aggregate(characters(text), start, step, lambda s: F.element_at(s["reached"], -1)))
 
 
-def _letters(vocabulary: Vocabulary) -> dict[int, str]:
-    return {length: chr(FIRST_LETTER + i) for i, length in enumerate(vocabulary.by_length)}
+def _letters(vocabulary: Tokens) -> dict[int, str]:
+    return {length: chr(FIRST_LETTER + i) for i, length in enumerate(vocabulary.lengths)}
 
 
-def _chosen(chars: Column, vocabulary: Vocabulary, unknown: bool) -> Column:
+def _chosen(chars: Column, vocabulary: Tokens, unknown: bool) -> Column:
     """A letter for each character: what the best tiling of the text up to it ends in.
 
     The best has the least cost, on ties the longest token. Cost: unknown characters, or tokens where none may be
@@ -126,7 +159,7 @@ def _chosen(chars: Column, vocabulary: Vocabulary, unknown: bool) -> Column:
     return F.aggregate(chars, start, step, lambda s: F.struct(s["letters"].alias("letters"), F.element_at(s["costs"], -1).alias("cost")))
 
 
-def _walked(letters: Column, vocabulary: Vocabulary) -> Column:
+def _walked(letters: Column, vocabulary: Tokens) -> Column:
     """Of each character, by walking back from the end: `b` a token begins, `i` inside one, `u` unknown. letters: an array."""
     lengths = F.create_map(*[F.lit(x) for length, letter in _letters(vocabulary).items() for x in (letter, length)])
 
@@ -145,7 +178,7 @@ def _stretches(chars: Column, starts: Column, ends: Column) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), ""))
 
 
-def uncovered_runs(text: Column, vocabulary: Vocabulary) -> Column:
+def uncovered_runs(text: Column, vocabulary: Tokens) -> Column:
     """Unknown runs, in order, of the tiling with the fewest unknown characters (on ties the longest last token wins)."""
 
     def runs(x: Column) -> Column:
@@ -166,7 +199,7 @@ def uncovered_runs(text: Column, vocabulary: Vocabulary) -> Column:
     return F.when(F.length(text) == 0, empty).when(text.isNotNull(), let(characters(text), found))
 
 
-def segments(text: Column, vocabulary: Vocabulary) -> Column:
+def segments(text: Column, vocabulary: Tokens) -> Column:
     """Tokens that tile the text, null if none do: the longest last token that is possible, before it the fewest tokens
     (on ties the longest last one). So the whole need not have the fewest."""
     letters_of = _letters(vocabulary)
@@ -185,7 +218,7 @@ def segments(text: Column, vocabulary: Vocabulary) -> Column:
                 for length, letter in letters_of.items():
                     tail = F.array_join(F.slice(chars, F.greatest(F.size(chars) - length + 1, F.lit(1)), F.lit(length)), "")
                     tiled = (F.size(chars) == length) | F.coalesce(F.get(x, F.size(chars) - length - 1) != UNKNOWN, F.lit(False))
-                    options.append(F.when((F.size(chars) >= length) & tiled & tail.isin(vocabulary.by_length[length]), F.lit(letter)))
+                    options.append(F.when((F.size(chars) >= length) & tiled & vocabulary.has_of(tail, length), F.lit(letter)))
                 return F.concat(F.slice(x, F.lit(1), F.size(x) - 1), F.array(F.coalesce(*options)))
 
             marked = let(letters, lambda x: let(last(x), lambda y: _walked(y, vocabulary)))

@@ -5,12 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirameki.errors import DataContractError
 from hirameki.functions import morphology as M
 from hirameki.functions import text as T
 from hirameki.functions import vocabulary as V
 
 
-def verdict(text: Column, vocabulary: V.Vocabulary, morphemes: Column | None = None, mode: str = "char") -> Column:
+def with_known(rows: DataFrame, text: Column, tokens: DataFrame, into: str = "_known") -> tuple[DataFrame, V.RowVocabulary]:
+    """rows with into, the tokens of a table (token) that occur in the text without its white space, and the vocabulary that it makes.
+
+    Each distinct text's pieces of the tokens' lengths meet the table by value, so the table may have any size; how many
+    pieces a text has is its length times the number of lengths. A null text has no tokens; no token at all is an error.
+    """
+    lengths = sorted((r[0] for r in tokens.where("token <> ''").select(F.length("token")).distinct().collect()), reverse=True)  # numbers up to the longest token's
+    if not lengths:
+        raise DataContractError("the vocabulary is empty")
+    keyed = rows.withColumn("_text", T.without_white_space(text)).withColumn("_key", F.md5("_text"))
+
+    def pieces(chars: Column) -> Column:
+        def of(length: int) -> Column:
+            at = F.when(F.size(chars) >= length, F.sequence(F.lit(1), F.size(chars) - length + 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(at, lambda i: F.array_join(F.slice(chars, i, F.lit(length)), ""))
+
+        return F.array_distinct(F.concat(*[of(n) for n in lengths]))
+
+    each = keyed.where("_text <> ''").select("_key", "_text").dropDuplicates(["_key"]).select("_key", F.explode(T.let(T.characters(F.col("_text")), pieces)).alias("token"))
+    found = each.join(tokens.select("token"), "token", "left_semi").groupBy("_key").agg(F.array(*[F.collect_list(F.when(F.length("token") == n, F.col("token"))) for n in lengths]).alias(into))
+    joined = keyed.join(found, "_key", "left").withColumn(into, F.coalesce(into, F.array().cast("array<array<string>>")))
+    return joined.drop("_key", "_text"), V.RowVocabulary(lengths, F.col(into))
+
+
+def verdict(text: Column, vocabulary: V.Tokens, morphemes: Column | None = None, mode: str = "char") -> Column:
     """Whether a caption is covered. char: its characters without white space are tiled, or else no morpheme is missing (if there are morphemes); fugashi: no morpheme is missing."""
     missing = None if morphemes is None else F.size(M.missing_morphemes(morphemes, vocabulary)) == 0
     if mode == "fugashi":
@@ -21,7 +46,7 @@ def verdict(text: Column, vocabulary: V.Vocabulary, morphemes: Column | None = N
     return tiled if missing is None else F.when(tiled, F.lit(True)).otherwise(missing)
 
 
-def missing_tokens(text: Column, vocabulary: V.Vocabulary, morphemes: Column | None = None) -> Column:
+def missing_tokens(text: Column, vocabulary: V.Tokens, morphemes: Column | None = None) -> Column:
     """By morphemes where there are such, else the unknown runs of the characters."""
     return V.uncovered_runs(T.without_white_space(text), vocabulary) if morphemes is None else M.missing_morphemes(morphemes, vocabulary)
 

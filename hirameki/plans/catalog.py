@@ -235,6 +235,20 @@ def segment_tokens(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(segments(T.without_white_space(F.col("p_name")), VOCABULARY), "|").alias("segments"))
 
 
+#: The words of all documents, of up to 12 letters, as a table; texts without white space are tiled by them or not.
+WORD_TABLE = "SELECT DISTINCT w AS token FROM (SELECT unnest(string_split_regex(text, '[ \t-\r]+')) AS w FROM documents) WHERE length(w) BETWEEN 1 AND 12"
+
+
+@query(f"""WITH RECURSIVE tokens AS MATERIALIZED ({WORD_TABLE}), lengths AS (SELECT DISTINCT length(token) AS n FROM tokens),
+    texts AS (SELECT DISTINCT regexp_replace(text, '{SPACE}', '', 'g') AS t FROM conversations),
+    reach AS (SELECT t, 0 AS k FROM texts UNION SELECT t, k + n FROM reach, lengths WHERE k + n <= length(t) AND substring(t, k + 1, n) IN (SELECT token FROM tokens))
+    SELECT conv_id, turn, bool_or(k = length(t)) AS ok FROM conversations JOIN reach ON t = regexp_replace(text, '{SPACE}', '', 'g') GROUP BY conv_id, turn""")
+def table_vocabulary_check(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \t-\r]+")).alias("token")).where("length(token) BETWEEN 1 AND 12").distinct()
+    rows, vocabulary = coverage.with_known(table(spark, sf_dir, "conversations"), F.col("text"), words)
+    return rows.select("conv_id", "turn", coverage.verdict(F.col("text"), vocabulary).alias("ok"))
+
+
 @query(f"WITH {PAIRS}, known AS (SELECT DISTINCT unnest(string_split_regex(text, '[ \t-\r]+')) AS token FROM benchmark), counts AS (SELECT unnest(list_filter(string_split_regex(source, '[ \t-\r]+'), lambda x: x <> '')) AS token FROM pairs)"
        " SELECT count(DISTINCT c.token) AS unique_tokens, count(*) AS total_tokens, count(DISTINCT k.token) AS unique_listed, count(k.token) AS total_listed, count(DISTINCT c.token) - count(DISTINCT k.token) AS unique_not_listed, count(*) - count(k.token) AS total_not_listed FROM counts c LEFT JOIN known k ON c.token = k.token")
 def coverage_summary(spark, sf_dir):

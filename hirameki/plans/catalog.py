@@ -602,6 +602,34 @@ def conjugation_table(spark, sf_dir):
     return rows.select("lemma", "form", M.conjugated(F.col("lemma"), F.col("form"), M.verb_class(F.col("lemma"))).alias("out"))
 
 
+#: Verbs made from part names: a kana and a last kana (some that no verb ends in) by the key, every 50th an irregular one.
+IRREGULAR, FORMS, LAST, BEFORE_LAST = ["する", "為る", "来る", "くる", "行く", "いく"], ["て", "で", "た", "だ", "ない", "ぬ", "は"], "".join(M.ENDINGS) + "はてん", "いかけ字"
+
+
+def ending_sql(k: int) -> str:
+    """The ending of a regular verb by the place of its last kana; null for other kana."""
+    return "[" + ", ".join(f"'{v[k]}'" for v in M.ENDINGS.values()) + "][nullif(place, 0)]"
+
+
+@query(f"""WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN {IRREGULAR}[p_partkey // 50 % {len(IRREGULAR)} + 1]
+      ELSE p_name || substring('{BEFORE_LAST}', p_partkey // {len(LAST)} % {len(BEFORE_LAST)} + 1, 1) || substring('{LAST}', p_partkey % {len(LAST)} + 1, 1) END AS lemma,
+      {FORMS}[p_partkey // 7 % {len(FORMS)} + 1] AS form FROM part),
+    p AS (SELECT *, left(lemma, -1) AS stem, instr('{"".join(M.ENDINGS)}', right(lemma, 1)) AS place,
+      CASE WHEN lemma IN ('する', '為る') THEN ['し', 'し', 'し'] WHEN lemma = '来る' THEN ['来', '来', '来'] WHEN lemma = 'くる' THEN ['き', 'き', 'こ']
+        WHEN right(lemma, 1) = 'る' AND instr('{M.VOWEL_STEMS}', left(right(lemma, 2), 1)) > 0 THEN [left(lemma, -1), left(lemma, -1), left(lemma, -1)] END AS fixed FROM v)
+    SELECT p_partkey, lemma, form, CASE
+      WHEN form IN ('て', 'で') THEN coalesce(fixed[1] || 'て', CASE WHEN lemma IN ('行く', 'いく') THEN stem || 'って' END, stem || {ending_sql(0)})
+      WHEN form IN ('た', 'だ') THEN coalesce(fixed[2] || 'た', CASE WHEN lemma IN ('行く', 'いく') THEN stem || 'った' END, stem || {ending_sql(1)})
+      WHEN form IN ('ない', 'ぬ') THEN coalesce(fixed[3], stem || {ending_sql(2)}) || form END AS out FROM p""")
+def conjugated_verbs(spark, sf_dir):
+    def nth(values, n: int) -> F.Column:
+        return F.get(F.array(*map(F.lit, values)), (F.floor(F.col("p_partkey") / n) % len(values)).cast("int"))
+
+    made = F.when(F.col("p_partkey") % 50 == 0, nth(IRREGULAR, 50)).otherwise(F.concat("p_name", nth(BEFORE_LAST, len(LAST)), nth(LAST, 1)))
+    rows = table(spark, sf_dir, "part").select("p_partkey", made.alias("lemma"), nth(FORMS, 7).alias("form"))
+    return rows.withColumn("out", M.conjugated(F.col("lemma"), F.col("form"), M.verb_class(F.col("lemma"))))
+
+
 def verb(surface, lemma):
     return morpheme(surface=surface, lemma=lemma, pos1="動詞")
 

@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hirameki.cluster import ship
 from hirameki.errors import DataContractError
 
 __all__ = [
@@ -113,14 +114,23 @@ def pairs_csv(spark: SparkSession, path: str, source: str, target: str) -> DataF
 
 def xlsx(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     """The named sheet, or the first if there is none of that name; the first row names the columns, all cells are text.
+    Several files have to have the same header.
 
     Files are read whole, one task each: a spreadsheet holds a million rows at most.
     """
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
-    header = files.limit(1).collect()  # one spreadsheet, for its column names
-    if not header:
-        raise DataContractError(f"{path} has no spreadsheet")
-    names = next(iter(_sheet(bytes(header[0]["content"]), sheet)), [])
+
+    def headers(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([next(iter(_sheet(c, sheet)), []) for c in batch.column("content").to_pylist()], pa.list_(pa.string()))], ["names"])
+
+    found = files.mapInArrow(headers, "names array<string>").distinct().limit(2).collect()  # only column names leave the workers
+    if len(found) != 1:
+        raise DataContractError(f"{path} has spreadsheets of different headers" if found else f"{path} has no spreadsheet")
+    names = found[0]["names"]
 
     def rows(batches):
         import pyarrow as pa

@@ -65,6 +65,13 @@ def test_spreadsheet(spark, tmp_path):
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/worksheets/sheet1.xml", sheet)
     assert [tuple(r) for r in S.pairs_xlsx(spark, str(tmp_path / "t.xlsx"), "from", "to", "no such sheet").collect()] == [("5", "neko")]
+    (tmp_path / "same.xlsx").write_bytes((tmp_path / "t.xlsx").read_bytes())
+    assert S.pairs_xlsx(spark, str(tmp_path / "*.xlsx"), "from", "to").count() == 2
+    with zipfile.ZipFile(tmp_path / "t.xlsx") as z, zipfile.ZipFile(tmp_path / "other.xlsx", "w") as other:
+        for name in z.namelist():
+            other.writestr(name, z.read(name).replace(b"from", b"begin"))
+    with pytest.raises(DataContractError):
+        S.pairs_xlsx(spark, str(tmp_path / "*.xlsx"), "from", "to")
 
 
 def test_vocabulary_and_replacements(spark, tmp_path):

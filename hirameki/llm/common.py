@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hirameki.cluster import shared_dir
+
 #: White space that parts words; a word is a run of anything else.
 SPACES = " \t\n\x0b\x0c\r"
 #: Stands for a null doc_id where documents are ordered: after every number.
@@ -22,21 +23,6 @@ LAST = (1 << 63) - 1
 #: Bytes of text that one numpy pass takes, unless a single document is larger.
 BLOCK_BYTES = 2 << 20
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; in a local session without one, a temporary folder."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="checkpoints-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 #: Tables that this session has written and not removed, with what it takes to remove them.
 _tables: dict[str, tuple] = {}
 _scopes: list[list[str]] = []

@@ -421,7 +421,10 @@ def copy_rate_len_ratio(spark, sf_dir):
     FROM (SELECT o_orderkey, count(l_orderkey) AS n, -sum(l_tax * 10) AS t FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)""")
 def ppl_fields(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), (-F.sum(F.col("l_tax") * 10)).alias("t"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey").join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n"), "t")
+    # one row a key (a null key too): rows of an equal key bring its items once each, to the count and to the sum
+    orders = table(spark, sf_dir, "orders").groupBy("o_orderkey").agg(F.count("*").alias("copies"))
+    n, t = F.coalesce(F.col("copies") * F.col("n"), F.lit(0)), F.col("copies") * F.col("t")
+    rows = orders.join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", n.alias("n"), t.alias("t"))
     return rows.select("o_orderkey", (F.round(scores.average_logprob(F.col("t"), F.col("n")), 9) + F.lit(0.0)).alias("lm_avg_logprob"), F.round(scores.perplexity(F.col("t"), F.col("n")), 6).alias("lm_ppl"))
 
 
